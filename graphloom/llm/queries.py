@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, packing, simhash
+from graphloom.llm import exact_dedup, ngram_lm, order_minhash, packing, simhash, url_filter
 from graphloom.llm.common import table
 
 
@@ -20,9 +20,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op2_simhash_dedup, op10_packing)}
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.ngram_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op4_ngram_lm, op5_exact_dedup, op7_url_filter, op8_order_minhash, op10_packing)}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _url_sql() -> str:
+    """The site rules, longest first, then the patterns, as CASE branches."""
+    quote = lambda s: s.replace("'", "''")
+    sites = sorted(url_filter.SITE_RULES, key=lambda r: -len(r.name))
+    fits = []
+    for r in sites:
+        host, _, path = r.name.partition("/")
+        fits.append((f"(host = '{host}' OR suffix(host, '.{host}')) AND prefix(path, '/{path}')", r.name, r.verdict))
+    rule = " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits)
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    patterns = " ".join(f"WHEN regexp_matches(url, '{quote(r.pattern)}') THEN '{r.verdict}'" for r in url_filter.PATTERN_RULES)
+    return f"""
+        WITH parts AS (
+            SELECT page_id, coalesce(url, '') AS url, {_LOWER.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages)
+        SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} {patterns} ELSE 'allow' END AS verdict FROM parts"""
+
 
 ORACLE_SQL = {
+    "op7_url_filter": _url_sql(),
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
