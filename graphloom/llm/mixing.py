@@ -12,6 +12,8 @@ from graphloom.llm.common import WORD, materialize, whole_text
 
 #: Sweeps over all margins, the sweeps between two written tables, and the power of its share that a value is to have.
 SWEEPS, WRITTEN, TEMPER = 8, 2, 0.5
+#: Share of all tokens that the mix is to have, and steps to the scale of probabilities that gives it.
+KEEP, STEPS = 0.7, 12
 #: Cells that are broadcast to the documents, at some 100 bytes each.
 FEW = 100_000
 
@@ -60,12 +62,29 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[st
     return materialize(w.select(*dims, "tokens", "raked"), "cells")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+def _scale(cells: DataFrame, keep: float, total: float) -> float:
+    """The c for which min(1, c weight) of each cell's tokens are `keep` of all tokens.
+
+    From below: what is left for the cells that are not taken whole sets c, which may fill more cells. The driver sees
+    two sums a step.
+    """
+    cells, scale = materialize(cells, "cells"), keep
+    for _ in range(STEPS):
+        whole = F.col("weight") * F.lit(scale) >= 1
+        full, rest = cells.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight") * F.col("tokens")))).first()
+        now = (keep * total - (full or 0)) / rest if rest else scale
+        if now <= scale:
+            break
+        scale = now
+    return scale
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
     """Return doc_id, source, lang, topic, n_tokens, weight, probability, kept, one row per input row.
 
-    weight: how much more of its cell's tokens the mix takes than the corpus has. probability: weight over the largest
-    weight, so the expected mix has the raked proportions and no document counts twice. kept: the id's own number is below
-    it, at any size and in any order. Null sources and languages are the value ''; null texts are empty and
+    weight: how much more of its cell's tokens the raked mix has than the corpus. probability: the weight, scaled so that the
+    expected mix has `keep` of all tokens, one at most: a cell that would need its documents more than once is taken
+    whole. kept: the id's own number is below it, at any size and in any order. Null sources and languages are the value ''; null texts are empty and
     count one token; repeated rows share their fate; an empty table gives an empty result; other columns are ignored.
     """
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -76,8 +95,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     raked = rake(cells, dims, targets, temper, sweeps)
     total, n = raked.agg(F.sum("tokens"), F.count("*")).first()
     raked = raked.withColumn("weight", F.col("raked") * F.lit(float(total or 0)) / F.col("tokens"))
-    most = raked.agg(F.max("weight")).first()[0] or 1.0
-    rates = raked.select(*dims, "weight", (F.col("weight") / F.lit(most)).alias("probability"))
+    scale = _scale(raked, keep, float(total or 0))
+    rates = raked.select(*dims, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)).alias("probability"))
     # Few cells go to every task; else the join splits a hot cell's rows.
     joined = rows.join(F.broadcast(rates) if n <= FEW else materialize(rates, "rates"), dims)
     return joined.select("doc_id", *dims, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (uniform("doc_id") < F.col("probability")).alias("kept"))
@@ -108,8 +127,13 @@ def mix_sql(sweeps: int = SWEEPS, temper: float = TEMPER) -> str:
         for d in dims:
             ctes.append(f"w{last + 1} AS (SELECT * REPLACE (raked * t_{d} / sum(raked) OVER (PARTITION BY {d}) AS raked) FROM w{last})")
             last += 1
-    ctes.append(f"rates AS (SELECT source, lang, topic, raked * (SELECT sum(tokens)::DOUBLE FROM cells) / tokens AS weight FROM w{last})")
+    ctes.append(f"rates AS (SELECT source, lang, topic, tokens, raked * (SELECT sum(tokens)::DOUBLE FROM cells) / tokens AS weight FROM w{last})")
+    ctes.append(f"c0 AS (SELECT {KEEP}::DOUBLE AS c)")
+    for k in range(STEPS):
+        whole = f"weight * (SELECT c FROM c{k}) >= 1"
+        left = f"({KEEP} * sum(tokens)::DOUBLE - coalesce(sum(tokens) FILTER ({whole}), 0)) / nullif(sum(weight * tokens) FILTER (NOT ({whole})), 0)"
+        ctes.append(f"c{k + 1} AS (SELECT greatest((SELECT c FROM c{k}), coalesce({left}, 0)) AS c FROM rates)")
     return f"""WITH {', '.join(ctes)}
-        SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(weight / (SELECT max(weight) FROM rates), 6) AS probability,
-               ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < weight / (SELECT max(weight) FROM rates) AS kept
+        SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(least(1.0, weight * (SELECT c FROM c{STEPS})), 6) AS probability,
+               ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < least(1.0, weight * (SELECT c FROM c{STEPS})) AS kept
         FROM rows JOIN rates USING (source, lang, topic)"""

@@ -26,6 +26,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 SAMPLE, ROUNDS = 20_000, 8
 #: Probability of a kind from which a token is added.
 CERTAIN = 0.5
+#: Log potentials that fitting starts from and is drawn to: of being outside, and of equal labels along a skip.
+OUTSIDE, SKIP = 2.0, 4.0
 
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 _NOT_DIGIT, _NOT_WORD = re.compile(r"[^0-9]+"), re.compile(r"[\W_]+")
@@ -139,7 +141,9 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = np.zeros((f.n, _LABELS), np.int64)
         np.add.at(linked, (f.skip[:, 0], f.base[f.skip[:, 1]]), 1)
         np.add.at(linked, (f.skip[:, 1], f.base[f.skip[:, 0]]), 1)
-        cols = [np.array(f.bits, np.int64), f.base, before, after, *np.minimum(linked, 3).T]
+        # A token that the patterns pass over but that shares something with one of theirs has no known label.
+        told = (f.base > 0) | (linked[:, 1:].sum(axis=1) == 0)
+        cols = [c[told] for c in (np.array(f.bits, np.int64), f.base, before, after, *np.minimum(linked, 3).T)]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["bits", "label", "before", "after", *(f"l{k}" for k in range(_LABELS))])
 
 
@@ -154,9 +158,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     names = ["bits", "label", "before", "after", *(f"l{k}" for k in range(_LABELS))]
     got = rows.where(F.col("h") <= F.lit(low)).mapInArrow(_sample, ", ".join(f"{n} long" for n in names)).groupBy(*names).count().collect()
     prior = np.zeros((FEATURES, _LABELS))
-    node, chain, skip = prior.copy(), np.zeros((_LABELS, _LABELS)), 1.0
-    prior[: len(_DIGITS) + 1, 0] = 4.0
-    node += prior
+    prior[: len(_DIGITS) + 1, 0] = OUTSIDE
+    node, chain, skip = prior.copy(), np.zeros((_LABELS, _LABELS)), SKIP
     if got:
         data = np.array(got, np.int64)
         x = ((data[:, :1] >> np.arange(FEATURES)) & 1).astype(float)
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
             rate = 4.0 / (1 + step / 50)
             node += rate * (x.T @ off - 1e-4 * (node - prior))
             chain += rate * (before.T @ off + off.T @ after - 1e-3 * chain)
-            skip += rate * (float((linked * off).sum()) - 1e-3 * (skip - 1))
+            skip += rate * (float((linked * off).sum()) - 1e-2 * (skip - SKIP))
     return Weights(node, chain, max(skip, 0.0))
 
 

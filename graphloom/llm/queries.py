@@ -3,27 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, ngram_lm, order_minhash, packing, simhash, url_filter
+from graphloom.llm import exact_dedup, language_id, mixing, ngram_lm, order_minhash, packing, pii, simhash, token_counts, url_filter
 from graphloom.llm.common import table
 
 
-def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, and documents with their source for a host; the text model comes from labelled documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.fit_text(docs)
+    found = language_id.identify_documents(docs, model=model).withColumn("page_id", F.lit(None).cast("long"))
+    return found.unionByName(language_id.identify_pages(pages, model).withColumn("doc_id", F.lit(None).cast("long")))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.ngram_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -33,7 +46,19 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op4_ngram_lm, op5_exact_dedup, op7_url_filter, op8_order_minhash, op10_packing)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_simhash_dedup, op3_pii, op4_ngram_lm, op5_exact_dedup, op6_mixing, op7_url_filter, op8_order_minhash, op9_token_counts, op10_packing)
+}
+
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -58,6 +83,7 @@ def _url_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op6_mixing": mixing.mix_sql(),
     "op7_url_filter": _url_sql(),
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
