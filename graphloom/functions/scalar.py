@@ -100,7 +100,7 @@ def merkle_levels(leaves: DataFrame) -> DataFrame:
 def merkle_proof(levels: DataFrame, idx: int) -> DataFrame:
     """(level, hash, left): siblings on the way up from a leaf (OP-X9)."""
     top = levels.agg(F.max("level")).first()[0]
-    at = F.shiftright(F.lit(idx), F.col("level"))
+    at = F.call_function("shiftright", F.lit(idx), F.col("level"))
     return levels.where((F.col("level") < top) & (F.col("idx") == at.bitwiseXOR(F.lit(1)))).select("level", "hash", (F.col("idx") < at).alias("left"))
 
 

@@ -95,7 +95,7 @@ def plan_steps(content: Column) -> Column:
         status = F.lower(F.trim(F.regexp_extract(rest, r"^[^\[]*\[([^\]]*)\]", 1)))
         return F.struct(F.when(status == "in progress", "in_progress").otherwise(status).alias("status"), F.trim(F.regexp_extract(rest, r"^[^\]]*\](.*)$", 1)).alias("step"))
 
-    steps = F.transform(F.filter(F.transform(lines(content), F.trim), lambda x: (x != "") & ~F.upper(x).startswith("EXPLANATION:")), parsed)
+    steps = F.transform(F.filter(F.transform(lines(content), lambda x: F.trim(x)), lambda x: (x != "") & ~F.upper(x).startswith("EXPLANATION:")), parsed)
     return F.filter(steps, lambda s: s["status"].isin("pending", "in_progress", "completed") & (s["step"] != ""))
 
 
@@ -165,7 +165,7 @@ def _unquoted(value: Column) -> Column:
 
 
 def _assignments(text: Column, prefix: str) -> Column:
-    own = F.filter(F.transform(lines(text), F.trim), lambda x: x.startswith(prefix))
+    own = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x.startswith(prefix))
     pair = lambda x: F.struct(F.substring_index(F.regexp_replace(x, f"^{prefix}", ""), "=", 1).alias("k"), F.when(x.contains("="), _unquoted(F.trim(F.regexp_replace(x, "^[^=]*=", "")))).otherwise("").alias("v"))
     entries = F.transform(own, pair)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["k"] == e["k"]))
@@ -183,7 +183,7 @@ def aliases(text: Column) -> Column:
 
 def shopts(text: Column) -> Column:
     """Shell options, set or not (OP-X21)."""
-    own = F.filter(F.transform(lines(text), F.trim), lambda x: x.rlike("^shopt -[pu] "))
+    own = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x.rlike("^shopt -[pu] "))
     return F.map_from_arrays(F.transform(own, lambda x: F.substring(x, F.lit(10), F.length(x))), F.transform(own, lambda x: x.startswith("shopt -p ")))
 
 
@@ -207,7 +207,7 @@ def proposal(df: DataFrame, text: str = "text") -> DataFrame:
 
     Modules, imports as edges, goals, and a goal's steps as edges in order; each once.
     """
-    rows = df.select(F.posexplode(F.transform(lines(F.col(text)), F.trim)).alias("pos", "t"))
+    rows = df.select(F.posexplode(F.transform(lines(F.col(text)), lambda x: F.trim(x))).alias("pos", "t"))
     mod, goal = r"^module\s+(\w+)(?:\s+imports\s+(.*))?$", r"^goal\s+(\w+)\s*:\s*(.*)$"
     modules = rows.where(F.col("t").rlike(mod)).select("pos", F.regexp_extract("t", mod, 1).alias("a"), F.regexp_extract("t", mod, 2).alias("rest"))
     goals = rows.where(F.col("t").rlike(goal)).select("pos", F.regexp_extract("t", goal, 1).alias("a"), F.split(F.regexp_extract("t", goal, 2), r"\s*->\s*").alias("steps"))

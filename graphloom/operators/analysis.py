@@ -126,7 +126,7 @@ def widen_interval(a: Column, b: Column) -> Column:
 
 def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(metric, value): sizes, edges by kind, and flags, in one pass over each table (OP-D15, OP-A1)."""
-    n = nodes.agg(F.count("*").alias("nodes"), F.count_if("unsafe").alias("unsafe"), F.count_if(F.col("visibility") == "pub").alias("public"))
+    n = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("unsafe")).alias("unsafe"), F.count_if(F.col("visibility") == "pub").alias("public"))
     kinds = edges.groupBy(F.concat(F.lit("edges."), "kind").alias("metric")).agg(F.count("*").alias("value"))
     return kinds.unionByName(n.unpivot([], ["nodes", "unsafe", "public"], "metric", "value"))
 

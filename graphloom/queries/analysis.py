@@ -285,14 +285,13 @@ def v16_v18_acyclic_kinds(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""SELECT p_brand AS variant FROM (SELECT DISTINCT p_brand FROM part UNION SELECT 'Brand_' || p_size FROM part) v
-    WHERE NOT EXISTS (FROM part b WHERE b.p_brand = v.p_brand AND b.p_size < 10)""")
+@query("""SELECT DISTINCT v AS variant FROM (SELECT replace(p_brand, '#', '_') AS v FROM part UNION SELECT 'Size_' || p_size FROM part)
+    WHERE v NOT IN (SELECT replace(p_brand, '#', '_') FROM part WHERE p_size < 3)""")
 def v19_exhaustiveness(t: Tables) -> DataFrame:
-    variants = t.part.select(F.regexp_replace("p_brand", "[^A-Za-z0-9_]", "_").alias("variant"), "p_brand").select(F.col("p_brand").alias("raw"), "variant").distinct()
-    more = t.part.select(F.concat(F.lit("Brand_"), "p_size").alias("raw"), F.concat(F.lit("Brand_"), "p_size").alias("variant")).distinct()
-    bodies = t.part.where("p_size < 10").select(F.concat(F.lit("match x { "), F.regexp_replace("p_brand", "[^A-Za-z0-9_]", "_"), F.lit(" => 1 }")).alias("text"))
-    every = variants.unionByName(more)
-    return S.unmentioned(every, bodies).select(F.col("raw").alias("variant"))
+    brand = F.regexp_replace("p_brand", "[^A-Za-z0-9_]", "_")
+    variants = t.part.select(brand.alias("variant")).union(t.part.select(F.concat(F.lit("Size_"), "p_size"))).distinct()
+    bodies = t.part.where("p_size < 3").select(F.concat(F.lit("match x { "), brand, F.lit(" => 1 }")).alias("text"))
+    return S.unmentioned(variants, bodies)
 
 
 @query(f"WITH {MODEL_NODES}, {MODEL_EDGES}, {CALLS} SELECT src, dst FROM calls JOIN model a ON a.id = src AND NOT a.unsafe JOIN model b ON b.id = dst AND b.unsafe")

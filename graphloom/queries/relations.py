@@ -279,7 +279,7 @@ def a13_effect_flags(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) AS imports, count(*) FILTER (p_size % 3 = 1) AS reexports, count(*) FILTER (p_size % 3 = 2) AS globs FROM part")
 def a14_import_statistics(t: Tables) -> DataFrame:
-    return t.part.agg(F.count("*").alias("imports"), F.count_if("p_size % 3 = 1").alias("reexports"), F.count_if("p_size % 3 = 2").alias("globs"))
+    return t.part.agg(F.count("*").alias("imports"), F.count_if(F.expr("p_size % 3 = 1")).alias("reexports"), F.count_if(F.expr("p_size % 3 = 2")).alias("globs"))
 
 
 @query(f"WITH {LOG} SELECT count(*) AS entries, sum(strlen(payload))::BIGINT AS bytes, max(seq) AS last FROM log")
