@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.store import drop_table, materialize, shared_dir  # noqa: F401
+
 #: Separators of words: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,35 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
-    return (named or sc.getCheckpointDir()).rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back.
-
-    Parquet rather than an RDD checkpoint, so that the next plan sees sizes and prunes columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table from `materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole_text(text: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -71,7 +71,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     and empty tables as `block_identities` does.
     """
     named = materialize(block_identities(docs, doc_id, text, block), "identities")
-    groups = named.groupBy("n_blocks", "identity").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # A table, so that both sides of the join come by a plain exchange, which a hot group's rows can be split on.
+    groups = materialize(named.groupBy("n_blocks", "identity").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["n_blocks", "identity"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -25,6 +25,8 @@ CHUNK = 1 << 20
 
 _SCRIPT = re.compile(rb"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(rb"<[^>]*>")
+#: Words with a digit (numbers, keys, addresses) are in no language.
+_NUMBER = re.compile(rb"(?<!\S)[^\s0-9]*+[0-9]\S*")
 
 
 def _buckets(text: bytes) -> np.ndarray:
@@ -42,7 +44,7 @@ class TextModel:
     table: np.ndarray
 
     def evidence(self, text: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.langs)), 0
+        total, n, text = np.zeros(len(self.langs)), 0, _NUMBER.sub(b"", text)
         for k in range(0, max(1, len(text)), CHUNK):
             h = _buckets(text[k : k + CHUNK])
             total += self.table[h].sum(axis=0, dtype=np.float64)
@@ -67,7 +69,7 @@ def fit_text(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", la
             by: dict[str, np.ndarray] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 counts = by.setdefault(name, np.zeros(BUCKETS, np.int64))
-                data = t.as_py()
+                data = _NUMBER.sub(b"", t.as_py())
                 for k in range(0, len(data), CHUNK):
                     counts += np.bincount(_buckets(data[k : k + CHUNK]), minlength=BUCKETS)
             for name, counts in by.items():

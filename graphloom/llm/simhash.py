@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +87,22 @@ def _filled(*columns: np.ndarray) -> np.ndarray:
     return pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
 
 
-def trie_links(group: np.ndarray, rest: np.ndarray, length: np.ndarray, budget: int = 3) -> np.ndarray:
+def _product(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of node pairs; within one node, each once."""
+    n, m = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
+    size = n * m
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    wide = np.repeat(m, size)
+    x, y = np.repeat(pairs[:, 0], size) + at // wide, np.repeat(pairs[:, 2], size) + at % wide
+    keep = x < y
+    return x[keep], y[keep]
+
+
+def trie_links(group: np.ndarray, rest: np.ndarray, length: np.ndarray, budget: int = 3, judge: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Labels of rows: equal where links of at most `budget` differing bits connect rows of the same group.
 
+    A judge has the last word on pairs of rows (x, y) within the budget; without one, all of them link.
+
     Rows are sorted by group, then rest. rest: the bits that the group does not share, `length` of them. A node of a
     group's trie is a run of rows with a common prefix. Pairs of nodes are opened together, one bit at a time, with the
     number of bits in which they differ so far: a pair beyond the budget goes; a pair whose open bits fit into what
@@ -107,6 +120,7 @@ def trie_links(group: np.ndarray, rest: np.ndarray, length: np.ndarray, budget:
         mid, _ = _opened(pairs, ones, rest)
         siblings.append(_filled(lo, mid, mid, hi, err + 1, left - 1))
         pairs = np.concatenate([_filled(lo, mid, lo, mid, err, left - 1), _filled(mid, hi, mid, hi, err, left - 1)])
+        siblings.append(pairs[(pairs[:, 1] - pairs[:, 0] > 1) & (pairs[:, 5] == 0)])
     for pairs in reversed(siblings):
         stack = [pairs]
         while stack:
@@ -122,8 +136,23 @@ def trie_links(group: np.ndarray, rest: np.ndarray, length: np.ndarray, budget:
             single = (ahi - alo == 1) & (bhi - blo == 1)
             x, y = alo[single], blo[single]
             near = np.bitwise_count((rest[x] ^ rest[y]).astype(np.uint64)) <= budget
-            forest.join(x[near], y[near])
-            full = ~single & (err + left <= budget)
+            x, y = x[near], y[near]
+            full = ~single & (err + left <= budget if judge is None else left == 0)
+            if judge is not None:
+                # Leaves of several rows: their pairs, a bounded number at a time.
+                leaves = pairs[full]
+                sizes = np.cumsum((leaves[:, 1] - leaves[:, 0]) * (leaves[:, 3] - leaves[:, 2]))
+                for part in np.split(leaves, np.flatnonzero(np.diff(sizes // PAIRS)) + 1) if len(leaves) else ():
+                    u, v = _product(part)
+                    sure = judge(u, v)
+                    forest.join(u[sure], v[sure])
+                sure = judge(x, y)
+                x, y = x[sure], y[sure]
+            forest.join(x, y)
+            if judge is not None:
+                pairs = pairs[~single & ~full]
+                full = single = np.zeros(len(pairs), bool)
+                alo, ahi, blo, bhi, err, left = pairs.T
             for first, end in ((alo[full], ahi[full]), (blo[full], bhi[full])):
                 rows = end - first
                 forest.join(np.repeat(alo[full], rows), np.repeat(first - np.cumsum(rows) + rows, rows) + np.arange(rows.sum()))
@@ -136,7 +165,7 @@ def trie_links(group: np.ndarray, rest: np.ndarray, length: np.ndarray, budget:
     return forest.label
 
 
-def _divide(rows: DataFrame, level: int) -> DataFrame:
+def _divide(rows: DataFrame, level: int, *carried: str) -> DataFrame:
     """Four copies of each row, each under the value of another quarter of its open bits.
 
     Three differing bits leave one quarter untouched, so a pair within the budget meets under at least one of them.
@@ -150,7 +179,7 @@ def _divide(rows: DataFrame, level: int) -> DataFrame:
         path = f"shiftleft(__path, {w} + 2) + shiftleft({o}L, {w}) + {block}"
         parts.append(f"struct({path} as p, {above} + {below} as r, __left - {w} as l)")
     copies = rows.withColumn("__c", F.expr(f"explode(array({', '.join(parts)}))"))
-    return copies.select("rep", F.lit(level).alias("__level"), F.col("__c.p").alias("__path"), F.col("__c.r").alias("__rest"), F.col("__c.l").alias("__left"))
+    return copies.select("rep", *carried, F.lit(level).alias("__level"), F.col("__c.p").alias("__path"), F.col("__c.r").alias("__rest"), F.col("__c.l").alias("__left"))
 
 
 def _links(batches: Iterator[pa.RecordBatch], budget: int = 3) -> Iterator[pa.RecordBatch]:
@@ -219,15 +248,6 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     comps = connected_components(hamming_links(nodes, budget))
     mapped = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     mapped = materialize(mapped, "mapped")
-    lowest = mapped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("links"))
+    lowest = materialize(mapped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("links")), "lowest")
     by_print = mapped.join(lowest, "root").select("fp", "component_id", "links")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 3, width: int = 5) -> DataFrame:
-    """The rows of docs, all columns, whose document has its component's smallest id; rows without an id stay.
-
-    Shingles of five words, as a near copy is meant to be one at a similarity of about 0.8 or more.
-    """
-    lowest = simhash_components(docs, doc_id, text, budget, width).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lowest, docs[doc_id] == lowest["__id"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import exact_dedup, language_id, mixing, ngram_lm, order_minhash, packing, pii, simhash, token_counts, tokens, url_filter
+from graphloom.llm import exact_dedup, language_id, mixing, ngram_lm, order_minhash, packing, pii, similar, simhash, token_counts, tokens, url_filter
 from graphloom.llm.components import connected_components
 
 random.seed(5)
@@ -54,7 +54,7 @@ def collected(df):
 
 
 def test_empty_tables(spark, empty):
-    for f in (exact_dedup.exact_dedup, simhash.simhash_components, packing.pack, ngram_lm.ngram_scores, order_minhash.fingerprints, pii.find_pii, mixing.mix, token_counts.token_counts, language_id.identify_documents):
+    for f in (exact_dedup.exact_dedup, simhash.simhash_components, packing.pack, ngram_lm.ngram_scores, order_minhash.fingerprints, pii.find_pii, similar.similar_components, mixing.mix, token_counts.token_counts, language_id.identify_documents):
         assert f(empty).count() == 0, f
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -132,6 +132,31 @@ def test_divided_tries(spark, monkeypatch):
     assert {p: comps.get(p, p) for p in prints} == want
 
 
+def edited(text, n):
+    w = text.split()
+    for i in random.sample(range(len(w)), n):
+        w[i] = f"x{random.random()}"
+    return " ".join(w)
+
+
+def test_similar_documents(spark, docs, monkeypatch):
+    assert {r["doc_id"] for r in collected(similar.similar_components(docs))} == {3 * i + 1 for i in range(len(TEXTS))}
+    random.seed(11)
+    texts = [" ".join(f"w{random.randint(0, 3000)}" for _ in range(250)) for _ in range(150)]
+    texts += [edited(t, random.randint(0, 5)) for t in texts[:100]]
+    texts += [edited(texts[0], 1) for _ in range(40)]  # a dense group
+    sets = [set(similar.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if share(sets[i], sets[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_components(range(len(texts)), links)
+    for group in (simhash.GROUP, 30):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        got = {r["doc_id"]: r["component_id"] for r in collected(similar.similar_components(df))}
+        assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
+        assert all(got[i] == i for i in range(100, 150))
+
+
 def test_components_of_a_chain(spark):
     ids = list(range(200))
     random.shuffle(ids)
