@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm import simhash
 from graphloom.llm.common import materialize, text_bytes
@@ -24,10 +25,12 @@ from graphloom.llm.components import connected_components
 
 #: Words of a fingerprint, and bits by which two members of a band may differ.
 WORDS, BUDGET = 6, 3
-#: Standard deviations between the expected differing bits and what counts as certain.
-CERTAIN = 2.5
-#: Pairs near the similarity that are compared by text for each two groups of linked texts.
-COMPARED = 3
+#: Standard deviations from the expected differing bits down to what counts as certain, and up to what is possible.
+CERTAIN, POSSIBLE = 3.0, 2.0
+#: Possible pairs that a task keeps of each of its rows, the nearest ones, and that a node has compared in a first round.
+NEAREST = 2
+#: Rounds of comparing by text; the last takes all pairs that are left.
+ROUNDS = 5
 #: Possible pairs that a task holds before it thins them out to each row's nearest.
 KEPT = 2_000_000
 
@@ -68,8 +71,8 @@ def wide_fingerprint(text: bytes, width: int = 5, words: int = WORDS) -> np.ndar
 def thresholds(similarity: float, words: int = WORDS) -> tuple[int, int]:
     """Differing bits up to which two texts surely have the similarity, and up to which they may have it."""
     p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
-    spread = CERTAIN * math.sqrt(n * p * (1 - p))
-    return int(n * p - spread), math.ceil(n * p + spread)
+    spread = math.sqrt(n * p * (1 - p))
+    return int(n * p - CERTAIN * spread), math.ceil(n * p + POSSIBLE * spread)
 
 
 def _thinned(pairs: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ def _thinned(pairs: np.ndarray) -> np.ndarray:
         order = np.lexsort((pairs[:, 2], pairs[:, c]))
         new = np.concatenate([[True], np.diff(pairs[order, c]) != 0])
         place = np.arange(len(pairs)) - np.maximum.accumulate(np.where(new, np.arange(len(pairs)), 0))
-        keep[order[place < COMPARED]] = True
+        keep[order[place < NEAREST]] = True
     return pairs[keep]
 
 
@@ -105,20 +108,10 @@ class _Judge:
         return far <= self.sure
 
     def nearest(self, label: np.ndarray) -> np.ndarray:
-        """The nearest possible pairs between any two labels, COMPARED of them."""
-        if not self.kept:
-            return np.zeros((0, 2), np.int64)
-        pairs = np.concatenate(self.kept)
-        a, b = label[pairs[:, 0]], label[pairs[:, 1]]
-        pairs, a, b = pairs[a != b], a[a != b], b[a != b]
-        if not len(pairs):
-            return pairs[:, :2]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((pairs[:, 2], hi, lo))
-        pairs, lo, hi = pairs[order], lo[order], hi[order]
-        new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        place = np.arange(len(pairs)) - np.maximum.accumulate(np.where(new, np.arange(len(pairs)), 0))
-        return pairs[place < COMPARED, :2]
+        """Possible pairs (x, y, distance) of rows with different labels, each row's nearest."""
+        pairs = np.unique(np.concatenate(self.kept), axis=0) if self.kept else np.zeros((0, 3), np.int64)
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+        return _thinned(pairs) if len(pairs) else pairs
 
 
 def _leaders(group: np.ndarray, rest: np.ndarray, judge: _Judge) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +131,7 @@ def _leaders(group: np.ndarray, rest: np.ndarray, judge: _Judge) -> tuple[np.nda
 
 
 def _join(cols: list[np.ndarray], sure: int, most: int) -> pa.RecordBatch:
-    """Links of groups: (a, b, certain)."""
+    """Links of groups and possible ones: (a, b, far), far being zero for certain ones."""
     band, path, rest, left, rep, prints = cols
     group = np.cumsum(np.concatenate([[False], (band[1:] != band[:-1]) | (path[1:] != path[:-1])]))
     judge = _Judge(prints, sure, most)
@@ -148,11 +141,11 @@ def _join(cols: list[np.ndarray], sure: int, most: int) -> pa.RecordBatch:
     label = simhash.trie_links(group[heads], rest[heads], left[heads], BUDGET, inner)
     label = heads[label][place[leader]]  # of each row
     judge.kept += [np.stack([heads[k[:, 0]], heads[k[:, 1]], k[:, 2]], axis=1) for k in inner.kept]
-    near = judge.nearest(label)
+    near = judge.nearest(label)  # of which many tasks may have the same
     away = np.flatnonzero(label != np.arange(len(label)))
     a, b = np.concatenate([rep[away], rep[near[:, 0]]]), np.concatenate([rep[label[away]], rep[near[:, 1]]])
-    certain = np.concatenate([np.ones(len(away), bool), np.zeros(len(near), bool)])
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(certain)], ["a", "b", "certain"])
+    far = np.concatenate([np.zeros(len(away), np.int64), near[:, 2]])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -179,7 +172,7 @@ def _links(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[
 
 
 def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, certain) for rows (rep, w0, w1, ...) with distinct fingerprints.
+    """(a, b, far) for rows (rep, w0, w1, ...) with distinct fingerprints.
 
     A band's row meets those that share a quarter of it. A group with over GROUP rows is divided by quarters of what
     is open, until its open bits are few; from then on, leaders stand for rows that share all of the band.
@@ -200,23 +193,54 @@ def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
         rows = rows.join(large, "__path", "left_semi")
     sure, most = thresholds(similarity)
     ready = ready.select("__level", "__path", "__rest", "__left", "rep", *words).repartition("__level", "__path").sortWithinPartitions("__level", "__path", "__rest")
-    return ready.mapInArrow(lambda it: _links(it, sure, most), "a long, b long, certain boolean")
+    return ready.mapInArrow(lambda it: _links(it, sure, most), "a long, b long, far long")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Pairs (a, b) of ids whose shingle sets have the similarity; docs: (doc_id, text bytes), ids once."""
+def _compared(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Pairs (a, b, la, lb) of ids whose shingle sets have the similarity; texts: (doc_id, text), ids once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 s, t = (np.unique(shingle_hashes(v.as_py(), width)) for v in (x, y))
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both >= similarity * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([True] * batch.num_rows)], ["a", "b", "certain"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "ta", "tb")
+    return joined.mapInArrow(run, "a long, b long, la long, lb long")
+
 
-    a, b = (docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, certain boolean").select("a", "b")
+def _settled(found: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(node, component) from links (a, b, far): the certain ones, and those that the texts (doc_id, text) confirm.
+
+    A pair is only compared if its nodes are not connected yet, the nearest first: in each round a node has twice as many
+    compared as before, in the last all. So a dense group needs few comparisons rather than all its pairs.
+    """
+    comps = materialize(connected_components(found.where("far = 0").select("a", "b")), "components")
+    pool = materialize(found.where("far > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far")), "pool")
+    asked = pool.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+    texts = materialize(rows.join(asked, rows["doc_id"] == asked["__id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    for turn in range(ROUNDS):
+        a, b = (comps.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab")
+        known = pool.select("a", "b", "far").join(a, "a", "left").join(b, "b", "left")
+        pool = materialize(known.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb"), "pool")
+        if pool.isEmpty():
+            break
+        picked = pool
+        if turn < ROUNDS - 1:
+            place = lambda x: F.row_number().over(Window.partitionBy(x).orderBy("far", "a", "b"))
+            pool = materialize(pool.withColumn("pa", place("a")).withColumn("pb", place("b")), "pool")
+            picked = pool.where(F.least("pa", "pb") <= NEAREST << turn)
+        links = materialize(_compared(picked.select("a", "b", "la", "lb"), texts, similarity, width), "links")
+        pool = pool.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+        merged = materialize(connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "merged")
+        every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+        moved = merged.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+        comps = materialize(every.join(moved, "component", "left").select("node", F.coalesce("__to", "component").alias("component")), "components")
+    return comps
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -238,11 +262,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     prints = materialize(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words)), "prints")
     nodes = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep")), "nodes")
     found = materialize(_candidates(nodes, similarity).distinct(), "pairs")
-    unsure = found.where("not certain").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    asked = unsure.select(F.col("a").alias("__id")).union(unsure.select("b")).distinct()
-    texts = rows.join(asked, rows["doc_id"] == asked["__id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    links = found.where("certain").select("a", "b").unionByName(_compared(unsure, materialize(texts, "texts"), similarity, width))
-    comps = materialize(connected_components(links), "components")
+    comps = _settled(found, rows, similarity, width)
     member = prints.join(nodes, words).select("doc_id", "rep")
     return member.join(comps, member["rep"] == comps["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
 

@@ -59,6 +59,23 @@ def test_empty_tables(spark, empty):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b c", None, None), (None, None, "en", "s"), (7, "a b c", "en", "s"), (8, "x", "en", None)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in collected(exact_dedup.exact_dedup(df)) if r["text_sha256"] == hashlib.sha256(b"a b c").hexdigest()}
+    assert got[7]["kept"] and not got[None]["kept"] and got[7]["group_size"] == 2
+    for f, n in ((ngram_lm.ngram_scores, 4), (pii.find_pii, 4), (mixing.mix, 4), (language_id.identify_documents, 4), (simhash.simhash_components, 2), (order_minhash.fingerprints, 2), (token_counts.token_counts, 2), (similar.similar_components, 2)):
+        assert f(df).count() == n, f
+    assert packing.pack(df).agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in library_ids(["a b c", "", "a b c", "x"]))
+    assert {r.doc_id for r in similar.drop_near_copies(df).collect()} == {None, 7, 8}
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, "").count() == 0
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
 def test_exact_dedup(docs, rows):
     got = {r["doc_id"]: r for r in collected(exact_dedup.exact_dedup(docs, block=64))}
     ids = {r[0]: r[1] or "" for r in rows}
