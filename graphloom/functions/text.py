@@ -202,6 +202,14 @@ def source_dependencies(df: DataFrame, path: str = "path", text: str = "text") -
     return deps.where(~F.col("dep").startswith("super") & (F.col("dep") != "self")).distinct()
 
 
+def symbol_uses(files: DataFrame, symbols: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, line, nth, name): identifiers of source text that are among the symbols (name), with their place among the
+    identifiers of their line (OP-Y7). Symbols are looked up by a join, so neither side needs to fit a task."""
+    rows = files.select(F.col(path).alias("path"), F.posexplode(lines(F.col(text))).alias("i", "t"))
+    words = rows.select("path", (F.col("i") + 1).alias("line"), F.posexplode(F.regexp_extract_all("t", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("nth", "name"))
+    return words.join(symbols.select("name").distinct(), "name", "left_semi").select("path", "line", (F.col("nth") + 1).alias("nth"), "name")
+
+
 def proposal(df: DataFrame, text: str = "text") -> DataFrame:
     """(kind, a, b, pos) of a plan language: `module a imports b, c`, `goal g: x -> y -> z` (OP-Y8).
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.plans.fixpoint import grow, relax
+from graphloom.plans.ordered import RANGE, running_sum
 from graphloom.store import materialize
 
 
@@ -30,21 +30,15 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").na.fill(0, ["out_degree", "in_degree"])
 
 
-def csr(nodes: DataFrame, edges: DataFrame, parts: int = 64) -> DataFrame:
+def csr(nodes: DataFrame, edges: DataFrame, per_range: int = RANGE) -> DataFrame:
     """(id, row_ptr, degree, neighbours): adjacency in the order of ids, neighbours sorted, repeats kept (OP-G2, OP-W9).
 
     row_ptr is a prefix sum in two levels: within ranges of ids, and over the ranges' sums.
     """
     adjacency = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
     rows = nodes.select("id").join(adjacency, "id", "left").withColumn("degree", F.size(F.coalesce("neighbours", F.array())).cast("long"))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    rows = rows.withColumn("range", F.floor((F.col("id") - (low or 0)) / width))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("range").agg(F.sum("degree").alias("s")).select("range", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"))
-    own = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("before", F.coalesce(F.sum("degree").over(own), F.lit(0))).join(F.broadcast(bases), "range")
-    return out.select("id", (F.col("base") + F.col("before")).alias("row_ptr"), "degree", F.coalesce("neighbours", F.array().cast("array<long>")).alias("neighbours"))
+    out = running_sum(rows, "id", "degree", "row_ptr", rows=max(1, per_range))
+    return out.select("id", "row_ptr", "degree", F.coalesce("neighbours", F.array().cast("array<long>")).alias("neighbours"))
 
 
 def neighbours(edges: DataFrame, node: object) -> DataFrame:

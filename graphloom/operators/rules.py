@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from graphloom.operators.graph import closure, peel
 from graphloom.operators.relational import KIND_SCOPES, STAGE_KINDS
+from graphloom.plans.ordered import previous
 
 Tables = Mapping[str, DataFrame]
 
@@ -167,11 +168,14 @@ class Increasing:
     epsilon: float = 0.0
 
     def check(self, t: Tables) -> DataFrame:
-        w = (Window.partitionBy(self.by) if self.by else Window.partitionBy(F.lit(0))).orderBy(self.order)
-        before = F.last(self.value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        if self.by:
+            w = Window.partitionBy(self.by).orderBy(self.order).rowsBetween(Window.unboundedPreceding, -1)
+            rows = t[self.table].withColumn("__before", F.last(self.value, ignorenulls=True).over(w))
+        else:
+            rows = previous(t[self.table], self.order, self.value, "__before")
         v = F.col(self.value)
         bad = (v <= F.col("__before")) if self.strict else (v < F.col("__before") - self.epsilon)
-        return _rows(t[self.table].withColumn("__before", before).where(bad), self.rule, F.col("id"), F.concat_ws(" after ", v.cast("string"), F.col("__before").cast("string")))
+        return _rows(rows.where(bad), self.rule, F.col("id"), F.concat_ws(" after ", v.cast("string"), F.col("__before").cast("string")))
 
 
 @dataclass(frozen=True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,8 +138,8 @@ class VersionStore:
     """A change log in a folder: numbered versions of appended changes, snapshots and compare-and-append (OP-M6, OP-M8, OP-K1,
     OP-K2, OP-K3).
 
-    A version is a folder; a marker that names the version before it makes it count, and two writers of one version
-    can not both create it.
+    A version is a folder of its own; a file named by its number holds the folder's name, and only one writer can create
+    that file. What a writer that failed or came second left behind is never read.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -148,26 +150,33 @@ class VersionStore:
 
     def version(self) -> int:
         """The last version, -1 for none."""
-        if not self._fs.exists(self._file(f"{self.path}/_versions")):
+        if not self._fs.exists(self._file(f"{self.path}/versions")):
             return -1
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(self._file(f"{self.path}/_versions"))), default=-1)
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._file(f"{self.path}/versions")))
+        return max((int(n) for n in names if n.isdigit()), default=-1)
 
     def append(self, changes: DataFrame, expected: int | None = None) -> int:
         """Append changes as the next version; fail if the last one is not the expected one."""
         last = self.version()
         if expected is not None and expected != last:
             raise ValueError(f"version {last}, not {expected}")
-        mark = self._file(f"{self.path}/_versions/{last + 1}")
-        changes.write.mode("overwrite").parquet(f"{self.path}/log/version={last + 1}")
-        if not self._fs.createNewFile(mark):
-            raise ValueError(f"version {last + 1} was written meanwhile")
+        folder = f"{last + 1}-{uuid.uuid4().hex}"
+        changes.write.parquet(f"{self.path}/log/{folder}")
+        try:
+            out = self._fs.create(self._file(f"{self.path}/versions/{last + 1}"), False)
+        except Py4JJavaError as e:
+            self._fs.delete(self._file(f"{self.path}/log/{folder}"), True)
+            raise ValueError(f"version {last + 1} was written meanwhile") from e
+        out.write(bytearray(folder.encode()))
+        out.close()
         return last + 1
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The log up to a version; folders without a marker do not count."""
+        """The log up to a version."""
         last = self.version() if version is None else version
-        paths = [f"{self.path}/log/version={v}" for v in range(last + 1)]
-        return self.spark.read.option("basePath", f"{self.path}/log").parquet(*paths)
+        marks = self.spark.read.text([f"{self.path}/versions/{v}" for v in range(last + 1)])
+        folders = sorted(r["value"] for r in marks.collect())  # a row for each version
+        return self.spark.read.parquet(*[f"{self.path}/log/{f}" for f in folders])
 
     def snapshot(self, version: int | None = None) -> DataFrame:
         return replay(self.read(version))

@@ -29,7 +29,7 @@ def g1_undirected(t: Tables) -> DataFrame:
 @query(f"""WITH {FLOW}, {NATIONS}, d AS (SELECT id, count(src) AS degree, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS neighbours FROM nodes LEFT JOIN flow ON src = id GROUP BY id)
     SELECT id, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_ptr, degree, coalesce(neighbours, '') AS neighbours FROM d""")
 def g2_csr(t: Tables) -> DataFrame:
-    return G.csr(nations(t), flow(t), parts=4).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
+    return G.csr(nations(t), flow(t), per_range=6).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
 
 
 @query(f"WITH {FLOW} SELECT dst FROM flow WHERE src = 3")

@@ -72,6 +72,19 @@ def r3_call_permissions(t: Tables) -> DataFrame:
     return found(t, "CallGraphRespectsDag")
 
 
+@query("""SELECT 'TickGraphEdgesDeclared' AS rule, n_nationkey::VARCHAR AS subject, count(*) AS n FROM (SELECT n_nationkey FROM nation WHERE n_nationkey % 7 = 3 UNION ALL SELECT n_nationkey FROM nation WHERE (n_nationkey + 1) % 7 = 3 OR n_nationkey = 24) GROUP BY 2
+    UNION ALL SELECT 'LoopContinuationJudgment', r_regionkey::VARCHAR, 1 FROM region WHERE r_regionkey > 2""")
+def r4_r5_ticks_and_loops(t: Tables) -> DataFrame:
+    """Edges from each nation's node to the next, some of which are not declared; loops with continuations that are no predicate."""
+    node = lambda c: F.col(c).cast("long")
+    declared = t.nation.where("n_nationkey % 7 != 3").select(node("n_nationkey").alias("id"), node("n_nationkey").alias("function"))
+    edges = t.nation.select(node("n_nationkey").alias("id"), node("n_nationkey").alias("from"), (node("n_nationkey") + 1).alias("to"))
+    loops = t.region.select(node("r_regionkey").alias("id"), node("r_regionkey").alias("graph"), node("r_regionkey").alias("continuation"))
+    tables = {"tick_graph_nodes": declared, "tick_graph_edges": edges, "functions": declared, "loop_policies": loops, "tick_graphs": loops.select("id"), "predicates": t.spark.range(3)}
+    rules = [r for r in R.STANDARD_RULES if r.rule in ("TickGraphEdgesDeclared", "TickGraphAcyclic", "LoopContinuationJudgment")]
+    return R.validate(tables, rules).groupBy("rule", "subject").agg(F.count("*").alias("n"))
+
+
 @query(_sql("SELECT 'ImplBinding' AS rule, s_suppkey AS subject FROM supplier WHERE (CASE WHEN s_suppkey % 31 = 0 THEN 1 ELSE s_nationkey END) = 24", "SELECT 'ImplBinding', s_suppkey FROM supplier WHERE s_suppkey % 37 = 0",
     "SELECT 'ImplBinding', s_suppkey FROM supplier WHERE s_suppkey % 37 <> 0 AND s_suppkey % 31 = 0 AND s_nationkey <> 1", "SELECT 'ImplBinding', c_custkey FROM customer JOIN supplier ON s_suppkey = c_custkey % 100 + 1 WHERE c_custkey % 203 <> 0 AND c_nationkey <> CASE WHEN s_suppkey % 31 = 0 THEN 1 ELSE s_nationkey END"))
 def r6_impl_binding(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from graphloom.operators.relational import differences, jaccard
 from graphloom.queries.registry import query
 from graphloom.recipes import DAG, LOG, Tables, dag, log
 from graphloom.sources import dot, files
-from graphloom.store import materialize, shared_dir
+from graphloom.store import materialize, own_dir
 
 STATE = "state AS (SELECT key, payload, seq FROM (SELECT key, arg_max(payload, seq) AS payload, max(seq) AS seq, arg_max(op, seq) AS op FROM log GROUP BY key) WHERE op <> 'RemoveNode')"
 
@@ -75,7 +75,7 @@ def m6_m8_version_store(t: Tables) -> DataFrame:
     """Two appended versions, the second against the first, and the snapshot that they give."""
     import uuid
 
-    store = V.VersionStore(t.spark, f"{shared_dir(t.spark)}/graphloom/store-{uuid.uuid4().hex}")
+    store = V.VersionStore(t.spark, f"{own_dir(t.spark)}/store-{uuid.uuid4().hex}")
     first = store.append(log(t).where("seq < 5000").select("seq", "op", "key", "payload"), expected=-1)
     last = store.append(log(t).where("seq >= 5000").select("seq", "op", "key", "payload"), expected=first)
     return store.checkpoint("now", store.snapshot()).select("key", "payload", F.lit(last).cast("long").alias("version"))
@@ -100,6 +100,52 @@ def m11_drift_bound(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), (F.round(1 - jaccard(a, b), 9) <= 0.3).alias("within"))
 
 
+STRUCTURAL = """d AS (SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'AddField' WHEN 'click' THEN 'UpdateStructVisibility' WHEN 'error' THEN 'RemoveField' WHEN 'purchase' THEN 'AddStruct' ELSE 'Nothing' END AS payload,
+        CASE WHEN event_type IN ('view', 'error') THEN 's' || user_id % 120 || '.f' || event_id % 3 WHEN event_type = 'purchase' THEN 's' || user_id ELSE 's' || user_id % 120 END AS id, CASE WHEN event_type = 'view' THEN 's' || user_id % 120 END AS parent, event_id::VARCHAR AS value FROM events WHERE event_id < 2000),
+    base AS (SELECT -1 AS seq, 'AddStruct' AS payload, 's' || s_suppkey AS id, NULL AS parent, NULL AS value FROM supplier),
+    r AS (SELECT *, CASE WHEN payload LIKE '%Field' THEN 'fields' ELSE 'structs' END AS collection FROM (FROM base UNION ALL FROM d) WHERE payload <> 'Nothing'),
+    born AS (SELECT id AS p, min(seq) AS b FROM r WHERE payload IN ('AddField', 'AddStruct') GROUP BY 1),
+    o AS (SELECT r.*, payload LIKE 'Add%' AND seq >= 0 AND parent IS NOT NULL AND coalesce(b >= seq, true) AS orphan FROM r LEFT JOIN born ON p = parent),
+    l AS (SELECT *, last_value(CASE WHEN NOT orphan AND payload LIKE 'Add%' THEN 1 WHEN payload LIKE 'Remove%' THEN 0 END IGNORE NULLS) OVER (PARTITION BY collection, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live FROM o),
+    x AS (SELECT *, CASE WHEN orphan THEN 'unknown parent' WHEN payload LIKE 'Add%' AND live = 1 THEN 'duplicate' WHEN payload NOT LIKE 'Add%' AND coalesce(live, 0) = 0 THEN 'unknown target' END AS defect FROM l)"""
+
+
+def _structural(t: Tables) -> tuple[DataFrame, DataFrame]:
+    items = t.supplier.select(F.lit("structs").alias("collection"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.expr("cast(map() as map<string,string>)").alias("props"))
+    payload = F.expr("case event_type when 'view' then 'AddField' when 'click' then 'UpdateStructVisibility' when 'error' then 'RemoveField' when 'purchase' then 'AddStruct' else 'Nothing' end")
+    key = F.expr("case when event_type in ('view', 'error') then concat('s', user_id % 120, '.f', event_id % 3) when event_type = 'purchase' then concat('s', user_id) else concat('s', user_id % 120) end")
+    parent = F.expr("if(event_type = 'view', concat('s', user_id % 120), null)")
+    return items, t.events.where("event_id < 2000").select(F.col("event_id").alias("seq"), payload.alias("payload"), key.alias("id"), parent.alias("parent"), F.col("event_id").cast("string").alias("value"))
+
+
+@query(f"""WITH {STRUCTURAL}, g AS (FROM x WHERE defect IS NULL), e AS (SELECT collection, id, arg_max(payload, seq) AS last, arg_max(parent, seq) AS parent FROM g WHERE payload <> 'UpdateStructVisibility' GROUP BY ALL)
+    SELECT collection, e.id, parent, (SELECT arg_max(value, seq) FROM g WHERE g.id = e.id AND payload = 'UpdateStructVisibility') AS visibility FROM e WHERE last LIKE 'Add%'""")
+def m12_structural_state(t: Tables) -> DataFrame:
+    from graphloom.operators.structural import apply_payloads
+
+    state, _ = apply_payloads(*_structural(t))
+    return state.select("collection", "id", "parent", F.col("props")["visibility"].alias("visibility"))
+
+
+@query(f"WITH {STRUCTURAL} SELECT seq, defect FROM x WHERE defect IS NOT NULL UNION ALL SELECT seq, 'unknown payload' FROM d WHERE payload = 'Nothing'")
+def m12_structural_errors(t: Tables) -> DataFrame:
+    from graphloom.operators.structural import apply_payloads
+
+    return apply_payloads(*_structural(t))[1]
+
+
+@query("""SELECT 'a' || n_nationkey AS admission, 'd' || n_nationkey AS delta, row_number() OVER (ORDER BY 'a' || n_nationkey) - 1 AS seq FROM nation WHERE n_regionkey <> 2""")
+def m10_admitted_changes(t: Tables) -> DataFrame:
+    """Each nation's admission adds a module; those of one region were not accepted."""
+    from graphloom.operators.structural import apply_admitted
+
+    items, _ = _structural(t)
+    n = t.nation.select(F.concat(F.lit("a"), "n_nationkey").alias("id"), F.col("n_regionkey").alias("judgment"), F.array(F.concat(F.lit("d"), "n_nationkey")).alias("delta_ids"))
+    judgments = t.region.select(F.col("r_regionkey").alias("id"), F.expr("if(r_regionkey = 2, 'Reject', 'Accept')").alias("decision"))
+    deltas = t.nation.select(F.concat(F.lit("d"), "n_nationkey").alias("delta"), F.lit(0).alias("seq"), F.lit("AddModule").alias("payload"), F.concat(F.lit("m"), "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("value"))
+    return apply_admitted(items, n, judgments, deltas)[1]
+
+
 @query("""SELECT l_orderkey * 10 + l_linenumber AS seq, defect FROM (SELECT DISTINCT l_orderkey, l_linenumber, 'unproven' AS defect FROM lineitem WHERE l_linenumber = 3
     UNION ALL SELECT DISTINCT l_orderkey, l_linenumber, 'unknown delta' FROM lineitem WHERE l_linenumber = 5)""")
 def m13_application_checks(t: Tables) -> DataFrame:
@@ -210,6 +256,14 @@ def y5_y6_file_dependencies(t: Tables) -> DataFrame:
     return Y.file_dependencies(deps, modules)
 
 
+@query("""WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE n_chars < 1500),
+    w AS (SELECT path, line, unnest(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*')) AS name, generate_subscripts(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*'), 1) AS nth FROM l)
+    SELECT path, line::INT AS line, nth::INT AS nth, name FROM w WHERE name IN ('the', 'der', 'la')""")
+def y7_symbol_uses(t: Tables) -> DataFrame:
+    names = t.spark.createDataFrame([("the",), ("der",), ("la",)], "name string")
+    return T.symbol_uses(t.documents.where("n_chars < 1500").select(F.col("doc_id").cast("string").alias("path"), "text"), names)
+
+
 @query("SELECT kind, a, b FROM (VALUES ('module', 'parse', NULL), ('module', 'lint', NULL), ('import', 'lint', 'parse'), ('goal', 'pipeline', NULL), ('step', 'parse', 'lint')) v(kind, a, b)")
 def y8_proposals(t: Tables) -> DataFrame:
     text = "module parse\n module lint imports parse\n\ngoal pipeline: parse -> lint\nnothing"
@@ -302,7 +356,7 @@ def s12_k1_ledger_round_trip(t: Tables) -> DataFrame:
     """Events written as lines of JSON in two appends and read back by their schema."""
     import uuid
 
-    path = f"{shared_dir(t.spark)}/graphloom/ledger-{uuid.uuid4().hex}"
+    path = f"{own_dir(t.spark)}/ledger-{uuid.uuid4().hex}"
     rows = t.events.select(F.col("user_id").alias("shell_id"), F.col("event_id").alias("epoch"), F.col("event_type").alias("command"), F.lit("").alias("state_hash"))
     rows.where("epoch % 2 = 0").write.mode("append").json(path)
     rows.where("epoch % 2 = 1").write.mode("append").json(path)

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import engine
 from graphloom.functions import scalar as X
 from graphloom.functions import text as T
 from graphloom.operators import analysis as A
@@ -15,8 +16,10 @@ from graphloom.operators import relational as R
 from graphloom.operators import resolution as Y
 from graphloom.operators import rules as RU
 from graphloom.operators import solvers as S
+from graphloom.operators import structural
 from graphloom.operators import versions as V
 from graphloom.plans import dag as P
+from graphloom.plans import ordered
 from graphloom.sources import dot, files, framed
 from graphloom.streaming import changelog, windows
 
@@ -95,6 +98,34 @@ def test_csr_keeps_repeats(edges, nodes):
     assert got == [(0, 0, 3), (1, 3, 0), (2, 3, 0), (3, 3, 1)]
 
 
+def test_windows_over_a_whole_table(spark):
+    rows = [(i * 3 - 50, None if i % 4 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "o long, v long")
+    last, total, want = None, 0, []
+    for o, v in rows:
+        want.append((o, last, total))
+        last, total = v if v is not None else last, total + (v or 0)
+    got = ordered.running_sum(ordered.previous(df, "o", "v", "p", rows=7), "o", "v", "s", rows=7)
+    assert pairs(got.select("o", "p", "s")) == want
+    assert ordered.previous(df.limit(0), "o", "v").count() == 0
+
+
+def test_structural_changes(spark):
+    items = spark.createDataFrame([("structs", "s", None, {"visibility": "pub"}), ("fields", "s.a", "s", {})], "collection string, id string, parent string, props map<string,string>")
+    rows = [(0, "AddField", "s.a", "s", None), (1, "AddField", "s.b", "s", None), (2, "RemoveField", "s.a", None, None), (3, "AddField", "s.a", "s", None), (4, "UpdateStructVisibility", "s", None, "private"), (5, "AddField", "q.a", "q", None), (6, "UpdateFunctionAst", "f", None, "x"), (7, "RenameArtifact", "s", "structs", "t"), (8, "Odd", "z", None, None)]
+    deltas = spark.createDataFrame(rows, "seq long, payload string, id string, parent string, value string")
+    state, errors = structural.apply_payloads(items, deltas)
+    assert sorted((r.collection, r.id, r.parent, r.props) for r in state.collect()) == [("fields", "s.a", "t", {}), ("fields", "s.b", "t", {}), ("structs", "t", None, {"visibility": "private"})]
+    assert pairs(errors) == [(0, "duplicate"), (5, "unknown parent"), (6, "unknown target"), (8, "unknown payload")]
+    adm = spark.createDataFrame([("a1", "j", ["d1"]), ("a2", "k", ["d2"])], "id string, judgment string, delta_ids array<string>")
+    jud = spark.createDataFrame([("j", "Accept"), ("k", "Reject")], "id string, decision string")
+    ds = spark.createDataFrame([("d1", 0, "AddModule", "m", None, None), ("d2", 0, "AddModule", "n", None, None)], "delta string, seq long, payload string, id string, parent string, value string")
+    after, applied, moved = structural.apply_admitted(items, adm, jud, ds)
+    assert after.count() == 3 and pairs(applied) == [("a1", "d1", 0)] and moved == pytest.approx(1 / 3)
+    after, applied, _ = structural.apply_admitted(items, adm, jud, ds, theta=0.1)
+    assert after.count() == 2 and applied.count() == 0
+
+
 def test_trust_and_chase(edges, nodes, spark):
     got = dict(pairs(G.trust(nodes(4), edges([(0, 1, 1), (0, 2, 3), (1, 3, 1), (2, 3, 1)]))))
     assert got == {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0}
@@ -410,3 +441,15 @@ def test_windows(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:10:00"), (1, "2024-01-01 00:20:00"), (1, "2024-01-01 05:00:00")], "user_id int, at string").select("user_id", F.to_timestamp("at").alias("ts"), F.lit("x").alias("event_type"))
     assert [r.n for r in windows.windowed_counts(rows, "1 hour").orderBy("start").collect()] == [2, 1]
     assert [r.n for r in windows.sessions(rows, "30 minutes").orderBy("start").collect()] == [2, 1]
+
+
+def test_engine(spark, edges, nodes):
+    e = engine.Engine(spark)
+    e.register("ns", nodes(4))
+    e.register("es", edges(DIAMOND))
+    e.register("order", e.graph("ns", "es").order())
+    assert pairs(e.sql("select max(level) from order")) == [(2,)]
+    e.register("symbols", spark.createDataFrame([("fn", "m", "Run")], "kind string, module string, name string"))
+    assert e.symbols("symbols", '{"name_contains": "run"}').count() == 1
+    e.register("modules", spark.createDataFrame([(1,), (1,)], "id long"))
+    assert [r.rule for r in e.validate(["modules"]).collect()] == ["ExplicitArtifacts"]
