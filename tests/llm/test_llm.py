@@ -232,6 +232,22 @@ def test_ngram_scores(docs, rows):
         assert math.isclose(r["score"], sum(math.log10((two[s] + m * root(s[1])) / (before[s[0]] + m)) for s in steps), rel_tol=1e-9)
 
 
+def test_held_out_texts_are_likelier_than_by_words_alone(spark):
+    random.seed(3)
+    follows = {w: random.sample(WORDS, 2) for w in WORDS}
+
+    def walk(n):
+        out = [random.choice(WORDS)]
+        while len(out) < n:
+            out.append(random.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, walk(200)) for i in range(200)], "doc_id long, text string")
+    held = [r for r in collected(ngram_lm.ngram_scores(df)) if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert len(held) > 10 and gain > 0.5  # log10 of five is what two followers of ten words save
+
+
 def test_mixing(docs, rows, spark):
     got = collected(mixing.mix(docs, targets={"lang": {"en": 1, "de": 2, "": 1}}, sweeps=30))
     assert len(got) == len(rows)
