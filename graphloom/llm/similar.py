@@ -20,19 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm import simhash
-from graphloom.llm.common import materialize, text_bytes
+from graphloom.llm.common import drop_table, materialize, text_bytes
 from graphloom.llm.components import connected_components
 
 #: Words of a fingerprint, and bits by which two members of a band may differ.
 WORDS, BUDGET = 6, 3
 #: Standard deviations from the expected differing bits down to what counts as certain, and up to what is possible.
 CERTAIN, POSSIBLE = 3.0, 2.0
-#: Possible pairs that a task keeps of each of its rows, the nearest ones, and that a node has compared in a first round.
+#: Possible pairs that a node has compared by text in a first round, the nearest ones; twice as many in each further round.
 NEAREST = 2
-#: Rounds of comparing by text; the last takes all pairs that are left.
-ROUNDS = 5
-#: Possible pairs that a task holds before it thins them out to each row's nearest.
-KEPT = 2_000_000
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -75,24 +71,12 @@ def thresholds(similarity: float, words: int = WORDS) -> tuple[int, int]:
     return int(n * p - CERTAIN * spread), math.ceil(n * p + POSSIBLE * spread)
 
 
-def _thinned(pairs: np.ndarray) -> np.ndarray:
-    """Of pairs (x, y, distance), each row's nearest."""
-    keep = np.zeros(len(pairs), bool)
-    for c in (0, 1):
-        order = np.lexsort((pairs[:, 2], pairs[:, c]))
-        new = np.concatenate([[True], np.diff(pairs[order, c]) != 0])
-        place = np.arange(len(pairs)) - np.maximum.accumulate(np.where(new, np.arange(len(pairs)), 0))
-        keep[order[place < NEAREST]] = True
-    return pairs[keep]
-
-
 class _Judge:
     """Tells pairs of rows by their whole fingerprints: certain ones are returned, possible ones kept."""
 
     def __init__(self, prints: np.ndarray, sure: int, most: int) -> None:
         self.prints, self.sure, self.most = prints, sure, most
         self.kept: list[np.ndarray] = []
-        self.size = 0
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         far = np.zeros(len(x), np.int64)
@@ -101,17 +85,12 @@ class _Judge:
         maybe = (far > self.sure) & (far <= self.most)
         if maybe.any():
             self.kept.append(np.stack([x[maybe], y[maybe], far[maybe]], axis=1))
-            self.size += int(maybe.sum())
-            if self.size > KEPT:
-                self.kept = [_thinned(np.concatenate(self.kept))]
-                self.size = len(self.kept[0])
         return far <= self.sure
 
-    def nearest(self, label: np.ndarray) -> np.ndarray:
-        """Possible pairs (x, y, distance) of rows with different labels, each row's nearest."""
-        pairs = np.unique(np.concatenate(self.kept), axis=0) if self.kept else np.zeros((0, 3), np.int64)
-        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-        return _thinned(pairs) if len(pairs) else pairs
+    def open(self, label: np.ndarray) -> np.ndarray:
+        """All possible pairs (x, y, distance) of rows with different labels."""
+        pairs = np.concatenate(self.kept) if self.kept else np.zeros((0, 3), np.int64)
+        return pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
 
 
 def _leaders(group: np.ndarray, rest: np.ndarray, judge: _Judge) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +120,7 @@ def _join(cols: list[np.ndarray], sure: int, most: int) -> pa.RecordBatch:
     label = simhash.trie_links(group[heads], rest[heads], left[heads], BUDGET, inner)
     label = heads[label][place[leader]]  # of each row
     judge.kept += [np.stack([heads[k[:, 0]], heads[k[:, 1]], k[:, 2]], axis=1) for k in inner.kept]
-    near = judge.nearest(label)  # of which many tasks may have the same
+    near = judge.open(label)  # of which many tasks may have the same
     away = np.flatnonzero(label != np.arange(len(label)))
     a, b = np.concatenate([rep[away], rep[near[:, 0]]]), np.concatenate([rep[label[away]], rep[near[:, 1]]])
     far = np.concatenate([np.zeros(len(away), np.int64), near[:, 2]])
@@ -196,20 +175,31 @@ def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
     return ready.mapInArrow(lambda it: _links(it, sure, most), "a long, b long, far long")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Pairs (a, b, la, lb) of ids whose shingle sets have the similarity; texts: (doc_id, text), ids once."""
+def _shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, shingles) from (doc_id, text): the number of distinct shingles, and their sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, shingles binary")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, la, lb) of ids whose shingle sets have the similarity; sets: (doc_id, n, shingles), ids once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                s, t = (np.unique(shingle_hashes(v.as_py(), width)) for v in (x, y))
+                s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "ta", "tb")
+    a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "sa", "sb")
     return joined.mapInArrow(run, "a long, b long, la long, lb long")
 
 
@@ -217,25 +207,30 @@ def _settled(found: DataFrame, rows: DataFrame, similarity: float, width: int) -
     """(node, component) from links (a, b, far): the certain ones, and those that the texts (doc_id, text) confirm.
 
     A pair is only compared if its nodes are not connected yet, the nearest first: in each round a node has twice as many
-    compared as before, in the last all. So a dense group needs few comparisons rather than all its pairs.
+    compared as before, until no pair is left. So a dense group needs few comparisons rather than all its pairs. Sets
+    whose sizes alone rule the similarity out are not compared.
     """
     comps = materialize(connected_components(found.where("far = 0").select("a", "b")), "components")
     pool = materialize(found.where("far > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far")), "pool")
     asked = pool.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = materialize(rows.join(asked, rows["doc_id"] == asked["__id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    for turn in range(ROUNDS):
+    texts = rows.join(asked, rows["doc_id"] == asked["__id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = materialize(_shingled(texts, width), "sets")
+    na, nb = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pool = pool.join(na, "a").join(nb, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)).select("a", "b", "far")
+    most = NEAREST
+    while True:
         a, b = (comps.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab")
         known = pool.select("a", "b", "far").join(a, "a", "left").join(b, "b", "left")
         pool = materialize(known.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb"), "pool")
         if pool.isEmpty():
             break
-        picked = pool
-        if turn < ROUNDS - 1:
-            place = lambda x: F.row_number().over(Window.partitionBy(x).orderBy("far", "a", "b"))
-            pool = materialize(pool.withColumn("pa", place("a")).withColumn("pb", place("b")), "pool")
-            picked = pool.where(F.least("pa", "pb") <= NEAREST << turn)
-        links = materialize(_compared(picked.select("a", "b", "la", "lb"), texts, similarity, width), "links")
-        pool = pool.join(picked.select("a", "b"), ["a", "b"], "left_anti")
+        place = lambda x: F.row_number().over(Window.partitionBy(x).orderBy("far", "a", "b"))
+        ranked = materialize(pool.withColumn("pa", place("a")).withColumn("pb", place("b")), "pool")
+        drop_table(pool)
+        first = F.least("pa", "pb") <= most
+        most *= 2
+        links = materialize(_compared(ranked.where(first), sets, similarity), "links")
+        pool = ranked.where(~first)
         merged = materialize(connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "merged")
         every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
         moved = merged.select(F.col("node").alias("component"), F.col("component").alias("__to"))

@@ -174,6 +174,38 @@ def test_similar_documents(spark, docs, monkeypatch):
         assert all(got[i] == i for i in range(100, 150))
 
 
+def band_rows(prints):
+    """Columns of one group of rows that share a whole band, as `similar._join` takes them."""
+    n = len(prints)
+    zeros = np.zeros(n, np.int64)
+    return [zeros, zeros, zeros, np.full(n, 32), np.arange(n) + 1000, prints]
+
+
+def flipped(base, bits):
+    out = np.unpackbits(base.view(np.uint8), bitorder="little")
+    out[bits] ^= 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def fingerprint_distances(prints):
+    return np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+
+
+def possible_pairs(batches):
+    return {(min(a, b), max(a, b)) for batch in batches for a, b, far in zip(*(c.to_pylist() for c in batch.columns), strict=True) if far}
+
+
+def test_all_possible_pairs_are_kept():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, similar.WORDS).astype(np.uint64)
+    prints = np.stack([flipped(base, rng.choice(384, 30, replace=False)) for _ in range(40)])
+    far = fingerprint_distances(prints)
+    want = {(1000 + i, 1000 + j) for i in range(40) for j in range(i + 1, 40) if far[i, j] <= 73}
+    assert far[far > 0].min() > 37 and len(want) > 700
+    got = similar._join(band_rows(prints), 37, 73)
+    assert possible_pairs([got] if hasattr(got, "columns") else got) == want
+
+
 def test_components_of_a_chain(spark):
     ids = list(range(200))
     random.shuffle(ids)
