@@ -10,6 +10,7 @@ chance brought together. Pairs far above the similarity are linked by their fing
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ WORDS, BUDGET = 6, 3
 CERTAIN, POSSIBLE = 3.0, 2.0
 #: Possible pairs that a node has compared by text in a first round, the nearest ones; twice as many in each further round.
 NEAREST = 2
+#: Possible pairs that a task holds in memory; more go to a file.
+HELD = 2_000_000
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -71,30 +74,76 @@ def thresholds(similarity: float, words: int = WORDS) -> tuple[int, int]:
     return int(n * p - CERTAIN * spread), math.ceil(n * p + POSSIBLE * spread)
 
 
+def _far(prints: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the whole fingerprints of rows."""
+    far = np.zeros(len(x), np.int64)
+    for k in range(prints.shape[1]):
+        far += np.bitwise_count(prints[x, k] ^ prints[y, k])
+    return far
+
+
 class _Judge:
-    """Tells pairs of rows by their whole fingerprints: certain ones are returned, possible ones kept."""
+    """Tells pairs of leaders by the whole fingerprints of all rows that they stand for: leaders of a certain pair link,
+    possible pairs are held, in a file where they are many.
+
+    Followers are within a radius of their leader, so leaders that are farther apart than both radii and what is possible
+    have no possible pair, and no rows of theirs are compared.
+    """
 
-    def __init__(self, prints: np.ndarray, sure: int, most: int) -> None:
+    def __init__(self, prints: np.ndarray, leader: np.ndarray, sure: int, most: int) -> None:
         self.prints, self.sure, self.most = prints, sure, most
+        self.heads = np.flatnonzero(leader == np.arange(len(leader)))
+        self.rows = np.argsort(leader, kind="stable")
+        self.first = np.searchsorted(leader[self.rows], self.heads)
+        self.count = np.diff(np.concatenate([self.first, [len(leader)]]))
+        self.radius = np.zeros(len(leader), np.int64)
+        np.maximum.at(self.radius, leader, _far(prints, leader, np.arange(len(leader))))
+        self.radius = self.radius[self.heads]
         self.kept: list[np.ndarray] = []
+        self.size, self.file = 0, None
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        far = np.zeros(len(x), np.int64)
-        for k in range(self.prints.shape[1]):
-            far += np.bitwise_count(self.prints[x, k] ^ self.prints[y, k])
-        maybe = (far > self.sure) & (far <= self.most)
-        if maybe.any():
-            self.kept.append(np.stack([x[maybe], y[maybe], far[maybe]], axis=1))
-        return far <= self.sure
-
-    def open(self, label: np.ndarray) -> np.ndarray:
-        """All possible pairs (x, y, distance) of rows with different labels."""
-        pairs = np.concatenate(self.kept) if self.kept else np.zeros((0, 3), np.int64)
-        return pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-
-
-def _leaders(group: np.ndarray, rest: np.ndarray, judge: _Judge) -> tuple[np.ndarray, np.ndarray]:
-    """(leader of each row, its place among leaders): rows alike in group and rest are held against the first that is left."""
+        far = _far(self.prints, self.heads[x], self.heads[y])
+        certain = far <= self.sure
+        reach = np.flatnonzero(~certain & (far <= self.most + self.radius[x] + self.radius[y]))
+        x, y = x[reach], y[reach]
+        ends = np.cumsum(self.count[x] * self.count[y])
+        for k in range(0, int(ends[-1]) if len(ends) else 0, simhash.PAIRS):
+            at = np.arange(k, min(k + simhash.PAIRS, int(ends[-1])))
+            pair = np.searchsorted(ends, at, side="right")
+            wide = self.count[y[pair]]
+            place = at - ends[pair] + self.count[x[pair]] * wide
+            u, v = self.rows[self.first[x[pair]] + place // wide], self.rows[self.first[y[pair]] + place % wide]
+            far = _far(self.prints, u, v)
+            certain[reach[pair[far <= self.sure]]] = True
+            maybe = (far > self.sure) & (far <= self.most)
+            self._hold(np.stack([u[maybe], v[maybe], far[maybe]], axis=1).astype(np.int32))
+        return certain
+
+    def _hold(self, pairs: np.ndarray) -> None:
+        self.kept.append(pairs)
+        self.size += len(pairs)
+        if self.size > HELD:
+            self.file = self.file or tempfile.TemporaryFile()
+            for part in self.kept:
+                part.tofile(self.file)
+            self.kept, self.size = [], 0
+
+    def open(self, label: np.ndarray) -> Iterator[np.ndarray]:
+        """All possible pairs (x, y, distance) of rows with different labels, at most about HELD at once."""
+        if self.file:
+            self.file.seek(0)
+            while len(part := np.fromfile(self.file, np.int32, 3 * HELD)):
+                pairs = part.reshape(-1, 3)
+                yield pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+            self.file.close()
+        if self.kept:
+            pairs = np.concatenate(self.kept)
+            yield pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+
+
+def _leaders(group: np.ndarray, rest: np.ndarray, prints: np.ndarray, sure: int) -> np.ndarray:
+    """The leader of each row: of rows alike in group and rest, the first that is left takes those that surely link to it."""
     leader = np.arange(len(rest))
     key = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (rest[1:] != rest[:-1])])) - 1
     left = np.arange(len(rest))
@@ -103,27 +152,28 @@ def _leaders(group: np.ndarray, rest: np.ndarray, judge: _Judge) -> tuple[np.nda
         first = np.concatenate([[True], k[1:] != k[:-1]])
         head = left[first][np.cumsum(first) - 1]
         others = ~first
-        sure = judge(head[others], left[others])
-        leader[left[others][sure]] = head[others][sure]
-        left = left[others][~sure]
-    return leader, np.cumsum(leader == np.arange(len(rest))) - 1
+        near = _far(prints, head[others], left[others]) <= sure
+        leader[left[others][near]] = head[others][near]
+        left = left[others][~near]
+    return leader
 
 
-def _join(cols: list[np.ndarray], sure: int, most: int) -> pa.RecordBatch:
+def _join(cols: list[np.ndarray], sure: int, most: int) -> Iterator[pa.RecordBatch]:
     """Links of groups and possible ones: (a, b, far), far being zero for certain ones."""
     band, path, rest, left, rep, prints = cols
     group = np.cumsum(np.concatenate([[False], (band[1:] != band[:-1]) | (path[1:] != path[:-1])]))
-    judge = _Judge(prints, sure, most)
-    leader, place = _leaders(group, rest, judge)
-    heads = np.flatnonzero(leader == np.arange(len(rest)))
-    inner = _Judge(prints[heads], sure, most)
-    label = simhash.trie_links(group[heads], rest[heads], left[heads], BUDGET, inner)
-    label = heads[label][place[leader]]  # of each row
-    judge.kept += [np.stack([heads[k[:, 0]], heads[k[:, 1]], k[:, 2]], axis=1) for k in inner.kept]
-    near = judge.open(label)  # of which many tasks may have the same
+    leader = _leaders(group, rest, prints, sure)
+    judge = _Judge(prints, leader, sure, most)
+    heads = judge.heads
+    label = simhash.trie_links(group[heads], rest[heads], left[heads], BUDGET, judge)
+    label = heads[label][np.searchsorted(heads, leader)]  # of each row
     away = np.flatnonzero(label != np.arange(len(label)))
-    a, b = np.concatenate([rep[away], rep[near[:, 0]]]), np.concatenate([rep[label[away]], rep[near[:, 1]]])
-    far = np.concatenate([np.zeros(len(away), np.int64), near[:, 2]])
+    yield _batch(rep[away], rep[label[away]], np.zeros(len(away), np.int64))
+    for pairs in judge.open(label):
+        yield _batch(rep[pairs[:, 0]], rep[pairs[:, 1]], pairs[:, 2].astype(np.int64))
+
+
+def _batch(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
 
 
@@ -143,11 +193,11 @@ def _links(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             last = np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]))[0]
             if last:
-                yield _join([c[:last] for c in cols], sure, most)
+                yield from _join([c[:last] for c in cols], sure, most)
             held = [[c[last:] for c in cols]]
             size = len(cols[0]) - last
     if size:
-        yield _join([np.concatenate(x) for x in zip(*held, strict=True)], sure, most)
+        yield from _join([np.concatenate(x) for x in zip(*held, strict=True)], sure, most)
 
 
 def _candidates(prints: DataFrame, similarity: float) -> DataFrame:

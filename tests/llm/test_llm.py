@@ -206,6 +206,18 @@ def test_all_possible_pairs_are_kept():
     assert possible_pairs([got] if hasattr(got, "columns") else got) == want
 
 
+@pytest.mark.parametrize("held", [2_000_000, 3])
+def test_followers_of_different_leaders_are_compared(monkeypatch, held):
+    monkeypatch.setattr(similar, "HELD", held, raising=False)
+    rng = np.random.default_rng(4)
+    base, order = rng.integers(0, 1 << 63, similar.WORDS).astype(np.uint64), rng.permutation(384)
+    places = [0, 10, 20, 30, 75, 85, 95, 105]  # two groups, whose leaders are 75 bits apart
+    prints = np.stack([flipped(base, order[:p]) for p in places])
+    got = similar._join(band_rows(prints), 37, 73)
+    want = {(1000 + i, 1000 + j) for i in range(4) for j in range(4, 8) if places[j] - places[i] <= 73}
+    assert possible_pairs([got] if hasattr(got, "columns") else got) == want
+
+
 def test_components_of_a_chain(spark):
     ids = list(range(200))
     random.shuffle(ids)
