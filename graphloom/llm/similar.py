@@ -27,7 +27,7 @@ from graphloom.llm.components import connected_components
 #: Words of a fingerprint, and bits by which two members of a band may differ.
 WORDS, BUDGET = 6, 3
 #: Standard deviations from the expected differing bits down to what counts as certain, and up to what is possible.
-CERTAIN, POSSIBLE = 3.0, 2.0
+CERTAIN, POSSIBLE = 3.0, 3.0
 #: Possible pairs that a node has compared by text in a first round, the nearest ones; twice as many in each further round.
 NEAREST = 2
 #: Possible pairs that a task holds in memory; more go to a file.
@@ -292,7 +292,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """Return (doc_id, component_id), one row for each id: component_id is the least id that links lead to.
 
     Texts link at `similarity` or more of their shingle sets. Texts with the same fingerprint, such as equal ones and all those
-    without a word, are one node. Fingerprints miss about one pair in thirty at the similarity itself and fewer above; what they
+    without a word, are one node. Fingerprints miss about one pair in fifty at the similarity itself, which no band finds, and fewer above; what they
     link is as similar but for one pair in a hundred near it, and those that the texts decide are exact. Nulls are
     empty; rows without an id are left out; an id's rows count by their first text in order; an empty table gives an empty result.
     """

@@ -218,6 +218,19 @@ def test_followers_of_different_leaders_are_compared(monkeypatch, held):
     assert possible_pairs([got] if hasattr(got, "columns") else got) == want
 
 
+def test_bound_of_possible_pairs_loses_none_at_the_similarity():
+    rng, most, lost = random.Random(1), similar.thresholds(0.8)[1], 0
+    for _ in range(400):
+        a = [f"w{rng.randint(0, 10**6)}" for _ in range(404)]
+        b, at = a[:], rng.randrange(360)
+        b[at : at + 40] = [f"y{rng.random()}" for _ in range(40)]
+        a, b = (" ".join(x).encode() for x in (a, b))
+        s, t = (set(similar.shingle_hashes(x, 5).tolist()) for x in (a, b))
+        assert len(s & t) >= 0.8 * len(s | t)
+        lost += int(np.bitwise_count(similar.wide_fingerprint(a, 5) ^ similar.wide_fingerprint(b, 5)).sum()) > most
+    assert lost <= 1
+
+
 def test_components_of_a_chain(spark):
     ids = list(range(200))
     random.shuffle(ids)
