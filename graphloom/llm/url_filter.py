@@ -56,7 +56,7 @@ PATTERN_RULES = [
     Rule("tracking", r"[?&]utm_source=(?:spam|ads)\b", ("utm", "source"), "block"),
     Rule("print", r"[?&]print=(?:1|true|yes)\b", ("print",), "block"),
     Rule("calendar", r"/calendar/\d{4}/\d{1,2}\b", ("calendar",), "block"),
-    Rule("login", r"/(?:user|account)?/?login\b", ("login",), "block"),
+    Rule("login", r"/(?:user|account)?/?login\b", (), "block"),  # also /userlogin, whose token is not login
     Rule("cart", r"/cart(?:/|\?|$)", ("cart",), "block"),
     Rule("wp admin", r"/wp-admin/", ("wp", "admin"), "block"),
     *(Rule(f"file {x}", rf"\.{x}(?:[?#]|$)", (x,), "block") for x in ("jpg", "jpeg", "png", "gif", "svg", "mp3", "mp4", "zip", "gz", "exe", "pdf")),

@@ -332,6 +332,21 @@ def test_url_filter(spark):
     assert got[3]["rule"] == "example.org/es/" and got[6]["rule"] is None and got[9]["verdict"] == "block"
 
 
+def test_url_filter_finds_rules_whose_literal_is_part_of_a_token(spark):
+    urls = [f"http://z.net/{x}" for x in ("userlogin", "accountlogin", "user/login", "a/userlogin?x=1", "login", "userlogins", "mylogin")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in collected(url_filter.judge(df))}
+    assert [got[i] for i in range(7)] == [("block", "login")] * 5 + [("allow", None)] * 2
+
+
+def test_literals_are_whole_tokens_of_what_fits():
+    fits = {"tracking": ["?utm_source=spam", "&utm_source=ads"], "print": ["?print=1", "&print=true"], "calendar": ["/calendar/2020/1"], "cart": ["/cart", "/cart/", "/cart?x"], "wp admin": ["/wp-admin/"], "login": ["/login", "/userlogin", "/accountlogin", "/user/login"]}
+    for rule in url_filter.PATTERN_RULES:
+        for part in fits.get(rule.name, [f".{rule.name[5:]}", f".{rule.name[5:]}?x"] if rule.name.startswith("file ") else []):
+            assert re.search(rule.pattern, f"http://z.net/a{part}")
+            assert set(rule.literals) <= set(re.findall("[a-z0-9]+", f"http://z.net/a{part}")), rule.name
+
+
 def plain_signature(text):
     def hashed(*xs):
         h = 42
