@@ -22,8 +22,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Documents that the field is fitted on, and rounds of messages.
-SAMPLE, ROUNDS = 20_000, 8
+#: Documents that the field is fitted on, and the change below which a message has settled.
+SAMPLE, SETTLED = 20_000, 1e-6
 #: Probability of a kind from which a token is added.
 CERTAIN = 0.5
 #: Log potentials that fitting starts from and is drawn to: of being outside, and of equal labels along a skip.
@@ -178,8 +178,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     return Weights(node, chain, max(skip, 0.0))
 
 
-def propagate(f: Field, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """Marginal probabilities of labels (0: outside) after loopy message passing; base labels are held."""
+def propagate(f: Field, w: Weights) -> np.ndarray:
+    """Marginal probabilities of labels (0: outside) after loopy message passing; base labels are held.
+
+    A document's messages go on until all have settled. Where loops keep them from it, they end after rounds that
+    lead damped messages along the longest possible way, over all of the document's variables.
+    """
     unary = f.x @ w.node
     unary[f.base > 0] = -30.0
     unary[np.arange(f.n)[f.base > 0], f.base[f.base > 0]] = 30.0
@@ -189,15 +193,23 @@ def propagate(f: Field, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
     psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
     messages = np.zeros((len(src), _LABELS))
-    for r in range(rounds + 1):
+    doc = np.asarray(f.doc, np.int64)[src]
+    rounds = 50 + 4 * np.bincount(np.asarray(f.doc, np.int64)) if f.n else np.zeros(0, np.int64)
+    live, done = np.arange(len(src)), 0  # messages of documents that have not settled
+    while len(live):
         belief = unary.copy()
-        np.add.at(belief, dst, messages)
-        if r == rounds or not len(src):
-            break
-        inward = (belief[src] - messages[back])[:, :, None] + psi
+        np.add.at(belief, dst[live], messages[live])
+        inward = (belief[src[live]] - messages[back[live]])[:, :, None] + psi[live]
         top = inward.max(axis=1, keepdims=True)
         new = np.log(np.exp(inward - top).sum(axis=1)) + top[:, 0]
-        messages = 0.5 * messages + 0.5 * (new - new.max(axis=1, keepdims=True))
+        new = 0.5 * messages[live] + 0.5 * (new - new.max(axis=1, keepdims=True))
+        moving = np.zeros(len(rounds), bool)
+        moving[doc[live[np.abs(new - messages[live]).max(axis=1) > SETTLED]]] = True
+        messages[live] = new
+        done += 1
+        live = live[(moving & (done < rounds))[doc[live]]]
+    belief = unary.copy()
+    np.add.at(belief, dst, messages)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 

@@ -267,6 +267,18 @@ def test_pii_field(spark, docs, rows):
     assert all(got[100 + i] == [""] for i in range(40))
 
 
+def test_evidence_reaches_all_repeats():
+    n, labels = 40, 1 + len(pii.KINDS)
+    f = pii.Field([" ".join(["x1234"] * n)], [[(3, 0, 5)]])
+    f.chain = f.chain[:0]
+    assert len(f.skip) == n - 1
+    p = pii.propagate(f, pii.Weights(np.zeros((pii.FEATURES, labels)), np.zeros((labels, labels)), 4.0))
+    step = np.exp(4.0 * np.eye(labels))
+    step /= step.sum(axis=1)
+    want = [np.linalg.matrix_power(step, i)[4] for i in range(n)]
+    assert np.abs(p - want).max() < 1e-4
+
+
 def test_ngram_scores(docs, rows):
     got = collected(ngram_lm.ngram_scores(docs, block_bytes=20_000))
     assert len(got) == len(rows)
