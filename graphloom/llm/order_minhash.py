@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.common import materialize, whole_text
 
-#: Words of a k-mer, numbers of a signature, k-mers of a tuple, k-mers that tuples are chosen from.
-K, SIZE, TUPLE, MINIMA = 3, 32, 2, 64
+#: Words of a k-mer, numbers of a signature, k-mers of a tuple, k-mers that tuples are chosen from (none: all).
+K, SIZE, TUPLE, MINIMA = 3, 32, 2, None
 #: Bits of a k-mer's place in its text; the 35 bits above them order the k-mers.
 PLACE = 28
 #: Documents of a range of ids, within which the next document is sought.
@@ -23,15 +23,15 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def signature_sql(text: str, k: int = K, size: int = SIZE, minima: int = MINIMA) -> str:
+def signature_sql(text: str, k: int = K, size: int = SIZE) -> str:
     """SQL for the signature of a text, `size` numbers of 24 bits.
 
     Words are runs without ASCII white space. A k-mer is k words (a shorter text: all of them) and has a random order.
     Sorting orders with places brings equal k-mers together in text order, which numbers their occurrences: in sorted
     order, the j-th element (from 0) that repeats its left neighbour, at i, has i - j first occurrences up to it, so its
-    k-mer's first one is that of index i - j - 1. Numbered occurrences get orders of their own. The `minima` smallest
-    stand for the text. Each number of the signature ranks them anew, takes the two smallest, restores their order in the
-    text and hashes the pair, so it changes where either k-mer goes or the two change places.
+    k-mer's first one is that of index i - j - 1. Numbered occurrences get orders of their own. Each number of
+    the signature ranks all of them anew, takes the two smallest, restores their order in the text and hashes the pair,
+    so it changes where either k-mer goes or the two change places.
     """
     order = f"shiftright(v[i], {PLACE})"
     words = f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != '')"
@@ -44,13 +44,12 @@ def signature_sql(text: str, k: int = K, size: int = SIZE, minima: int = MINIMA)
     again = f"filter({index}, i -> i > 0 and shiftright(v[i], {PLACE}) = shiftright(v[i - 1], {PLACE}))"
     place = f"(v[i] & {(1 << PLACE) - 1})"
     numbered = f"transform(r, (i, j) -> shiftleft(xxhash64({order}, i - f[i - j - 1]) & {(1 << 35) - 1}, {PLACE}) + {place})"
-    least = f"slice(sort_array(concat(transform(slice(f, 1, {minima}), i -> v[i]), {_let(again, 'r', numbered)})), 1, {minima})"
-    ranks = f"transform(m, (e, i) -> shiftleft(shiftright(xxhash64(shiftright(e, {PLACE}), j), 8), 8) + i)"
-    one = "cast(a & 255 as int)"
-    two = "cast(array_min(filter(t, x -> x != a)) & 255 as int)"
-    pair = _let(f"sort_array(transform(filter(array({one}, {two}), x -> x is not null), x -> (m[x] & {(1 << PLACE) - 1}) * 256 + x))", "p", f"xxhash64(j, transform(p, x -> shiftright(m[cast(x & 255 as int)], {PLACE}))) & 16777215")
+    every = f"sort_array(concat(transform(f, i -> v[i]), {_let(again, 'r', numbered)}))"
+    ranks = f"transform(m, (e, i) -> struct(shiftleft(shiftright(xxhash64(shiftright(e, {PLACE}), j), 8), 8) | i as h, i as i))"
+    two = "array_min(filter(t, x -> x.i != a.i))"
+    pair = _let(f"sort_array(transform(filter(array(a, {two}), x -> x is not null), x -> struct(m[x.i] & {(1 << PLACE) - 1} as p, m[x.i] as e)))", "p", f"xxhash64(j, transform(p, x -> shiftright(x.e, {PLACE}))) & 16777215")
     tuples = f"transform(sequence(0, {size - 1}), j -> {_let(ranks, 't', _let('array_min(t)', 'a', pair))})"
-    return _let(words, "w", _let(f"sort_array({kmers})", "v", _let(first, "f", _let(least, "m", tuples))))
+    return _let(words, "w", _let(f"sort_array({kmers})", "v", _let(first, "f", _let(every, "m", tuples))))
 
 
 def signature_text(signature: str) -> Column:

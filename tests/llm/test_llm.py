@@ -400,6 +400,15 @@ def test_order_minhash(spark, docs, rows):
             assert (r["near_edited"], r["near_next"]) == (like(a, b), like(a, c))
 
 
+def test_likeness_is_not_biased_by_length(spark):
+    rng = random.Random(2)
+    whole = [[f"w{rng.random()}" for _ in range(2000)] for _ in range(16)]
+    df = spark.createDataFrame([(" ".join(w), " ".join(w[:1001])) for w in whole], "a string, b string")
+    signed = df.select(F.expr(order_minhash.signature_sql("a")).alias("a"), F.expr(order_minhash.signature_sql("b")).alias("b"))
+    mean = signed.agg(F.avg(order_minhash.likeness("a", "b"))).first()[0]
+    assert abs(mean - 0.25) < 0.08, mean  # both k-mers of a tuple lie in the first half
+
+
 def test_order_minhash_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "RANGE", 3)
     ids = random.sample(range(-500, 10_000), 60)
