@@ -4,13 +4,13 @@ Two texts whose shingle sets share s of their union differ in each fingerprint b
 acos(2s / (1 + s)) / pi, 0.15 at 0.8: ten bits of 64, beyond what tries of short fingerprints can tell from chance. So the
 fingerprint has WORDS words of 64 bits. Each half word is a band; tries of a band are joined with themselves at up to
 three differing bits, which finds nearly all pairs in at least one band, and the whole fingerprints then tell the pairs that
-chance brought together. Pairs far above the similarity are linked by their fingerprints; those near it by their texts.
+chance brought together. What may be similar is connected first, a link a row rather than a link a pair; the texts of each
+such group then decide, one text against all others of its group that are not connected yet.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +18,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm import simhash
-from graphloom.llm.common import drop_table, materialize, text_bytes
+from graphloom.llm.common import materialize, text_bytes
 from graphloom.llm.components import connected_components
 
 #: Words of a fingerprint, and bits by which two members of a band may differ.
 WORDS, BUDGET = 6, 3
-#: Standard deviations from the expected differing bits down to what counts as certain, and up to what is possible.
-CERTAIN, POSSIBLE = 3.0, 3.0
-#: Possible pairs that a node has compared by text in a first round, the nearest ones; twice as many in each further round.
-NEAREST = 2
-#: Possible pairs that a task holds in memory; more go to a file.
-HELD = 2_000_000
+#: Standard deviations from the expected differing bits up to what is possible.
+POSSIBLE = 3.0
+#: Bytes of text that one task compares at once; a larger group is dealt into blocks.
+LIMIT = 32 << 20
 
 _MIX = 0x9E3779B97F4A7C15
+#: By level of a trie: the bits that a path has gained since its first level.
+_DEEPER = np.array([0, 0, 8, 14, 19])
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -67,11 +66,10 @@ def wide_fingerprint(text: bytes, width: int = 5, words: int = WORDS) -> np.ndar
     return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
 
 
-def thresholds(similarity: float, words: int = WORDS) -> tuple[int, int]:
-    """Differing bits up to which two texts surely have the similarity, and up to which they may have it."""
+def threshold(similarity: float, words: int = WORDS) -> int:
+    """Differing bits up to which two texts may have the similarity."""
     p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
-    spread = math.sqrt(n * p * (1 - p))
-    return int(n * p - CERTAIN * spread), math.ceil(n * p + POSSIBLE * spread)
+    return math.ceil(n * p + POSSIBLE * math.sqrt(n * p * (1 - p)))
 
 
 def _far(prints: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -82,16 +80,31 @@ def _far(prints: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return far
 
 
+def _leaders(group: np.ndarray, rest: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
+    """The leader of each row: of rows alike in group and rest, the first that is left takes those that it may link to."""
+    leader = np.arange(len(rest))
+    key = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (rest[1:] != rest[:-1])])) - 1
+    left = np.arange(len(rest))
+    while len(left):
+        k = key[left]
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        head = left[first][np.cumsum(first) - 1]
+        others = ~first
+        near = _far(prints, head[others], left[others]) <= most
+        leader[left[others][near]] = head[others][near]
+        left = left[others][~near]
+    return leader
+
+
 class _Judge:
-    """Tells pairs of leaders by the whole fingerprints of all rows that they stand for: leaders of a certain pair link,
-    possible pairs are held, in a file where they are many.
+    """Tells pairs of leaders by the whole fingerprints of all rows that they stand for, and keeps a link for each pair.
 
     Followers are within a radius of their leader, so leaders that are farther apart than both radii and what is possible
     have no possible pair, and no rows of theirs are compared.
     """
 
-    def __init__(self, prints: np.ndarray, leader: np.ndarray, sure: int, most: int) -> None:
-        self.prints, self.sure, self.most = prints, sure, most
+    def __init__(self, prints: np.ndarray, leader: np.ndarray, most: int) -> None:
+        self.prints, self.most = prints, most
         self.heads = np.flatnonzero(leader == np.arange(len(leader)))
         self.rows = np.argsort(leader, kind="stable")
         self.first = np.searchsorted(leader[self.rows], self.heads)
@@ -99,13 +112,14 @@ class _Judge:
         self.radius = np.zeros(len(leader), np.int64)
         np.maximum.at(self.radius, leader, _far(prints, leader, np.arange(len(leader))))
         self.radius = self.radius[self.heads]
-        self.kept: list[np.ndarray] = []
-        self.size, self.file = 0, None
+        followers = np.flatnonzero(leader != np.arange(len(leader)))
+        self.links = [np.stack([leader[followers], followers])]
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         far = _far(self.prints, self.heads[x], self.heads[y])
-        certain = far <= self.sure
-        reach = np.flatnonzero(~certain & (far <= self.most + self.radius[x] + self.radius[y]))
+        linked = far <= self.most
+        self.links.append(np.stack([self.heads[x[linked]], self.heads[y[linked]]]))
+        reach = np.flatnonzero(~linked & (far <= self.most + self.radius[x] + self.radius[y]))
         x, y = x[reach], y[reach]
         ends = np.cumsum(self.count[x] * self.count[y])
         for k in range(0, int(ends[-1]) if len(ends) else 0, simhash.PAIRS):
@@ -114,70 +128,56 @@ class _Judge:
             wide = self.count[y[pair]]
             place = at - ends[pair] + self.count[x[pair]] * wide
             u, v = self.rows[self.first[x[pair]] + place // wide], self.rows[self.first[y[pair]] + place % wide]
-            far = _far(self.prints, u, v)
-            certain[reach[pair[far <= self.sure]]] = True
-            maybe = (far > self.sure) & (far <= self.most)
-            self._hold(np.stack([u[maybe], v[maybe], far[maybe]], axis=1).astype(np.int32))
-        return certain
-
-    def _hold(self, pairs: np.ndarray) -> None:
-        self.kept.append(pairs)
-        self.size += len(pairs)
-        if self.size > HELD:
-            self.file = self.file or tempfile.TemporaryFile()
-            for part in self.kept:
-                part.tofile(self.file)
-            self.kept, self.size = [], 0
-
-    def open(self, label: np.ndarray) -> Iterator[np.ndarray]:
-        """All possible pairs (x, y, distance) of rows with different labels, at most about HELD at once."""
-        if self.file:
-            self.file.seek(0)
-            while len(part := np.fromfile(self.file, np.int32, 3 * HELD)):
-                pairs = part.reshape(-1, 3)
-                yield pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-            self.file.close()
-        if self.kept:
-            pairs = np.concatenate(self.kept)
-            yield pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-
-
-def _leaders(group: np.ndarray, rest: np.ndarray, prints: np.ndarray, sure: int) -> np.ndarray:
-    """The leader of each row: of rows alike in group and rest, the first that is left takes those that surely link to it."""
-    leader = np.arange(len(rest))
-    key = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (rest[1:] != rest[:-1])])) - 1
-    left = np.arange(len(rest))
-    while len(left):
-        k = key[left]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        head = left[first][np.cumsum(first) - 1]
-        others = ~first
-        near = _far(prints, head[others], left[others]) <= sure
-        leader[left[others][near]] = head[others][near]
-        left = left[others][~near]
-    return leader
-
-
-def _join(cols: list[np.ndarray], sure: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Links of groups and possible ones: (a, b, far), far being zero for certain ones."""
-    band, path, rest, left, rep, prints = cols
-    group = np.cumsum(np.concatenate([[False], (band[1:] != band[:-1]) | (path[1:] != path[:-1])]))
-    leader = _leaders(group, rest, prints, sure)
-    judge = _Judge(prints, leader, sure, most)
-    heads = judge.heads
-    label = simhash.trie_links(group[heads], rest[heads], left[heads], BUDGET, judge)
-    label = heads[label][np.searchsorted(heads, leader)]  # of each row
-    away = np.flatnonzero(label != np.arange(len(label)))
-    yield _batch(rep[away], rep[label[away]], np.zeros(len(away), np.int64))
-    for pairs in judge.open(label):
-        yield _batch(rep[pairs[:, 0]], rep[pairs[:, 1]], pairs[:, 2].astype(np.int64))
-
-
-def _batch(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "far"])
-
-
-def _links(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[pa.RecordBatch]:
+            near = np.flatnonzero(_far(self.prints, u, v) <= self.most)
+            _, one = np.unique(pair[near], return_index=True)
+            near = near[one]
+            self.links.append(np.stack([u[near], v[near]]))
+            linked[reach[pair[near]]] = True
+        return linked
+
+
+def _met_before(prints: np.ndarray, u: np.ndarray, v: np.ndarray, band: np.ndarray, quarter: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows that meet under a quarter of a band do so under an earlier one as well."""
+    before = np.zeros(len(u), bool)
+    for b in range(2 * prints.shape[1]):
+        differ = ((prints[u, b // 2] ^ prints[v, b // 2]) >> np.uint64(32 * (b % 2))) & np.uint64(0xFFFFFFFF)
+        before |= (b < band) & (np.bitwise_count(differ) <= BUDGET)
+        for o in range(3):
+            before |= (b == band) & (o < quarter) & ((differ >> np.uint64(24 - 8 * o)) & np.uint64(255) == 0)
+    return before
+
+
+def _spanning(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few of the links as connect the same rows."""
+    forest, chosen = simhash._Forest(n), [np.zeros((2, 0), np.int64)]
+    while True:
+        x, y = forest.label[u], forest.label[v]
+        keep = x != y
+        u, v, high = u[keep], v[keep], np.maximum(x, y)[keep]
+        if not len(u):
+            return tuple(np.concatenate(chosen, axis=1))
+        _, one = np.unique(high, return_index=True)
+        chosen.append(np.stack([u[one], v[one]]))
+        forest.join(u[one], v[one])
+
+
+def _join(cols: list[np.ndarray], most: int) -> pa.RecordBatch:
+    """Links (a, b) that connect the possible pairs of groups; a pair that meets elsewhere before is linked there."""
+    level, path, rest, left, rep, prints = cols
+    group = np.cumsum(np.concatenate([[False], (level[1:] != level[:-1]) | (path[1:] != path[:-1])]))
+    leader = _leaders(group, rest, prints, most)
+    judge = _Judge(prints, leader, most)
+    simhash.trie_links(group[judge.heads], rest[judge.heads], left[judge.heads], BUDGET, judge)
+    u, v = np.concatenate(judge.links, axis=1)
+    top = path[u] >> _DEEPER[level[u]]
+    first = ~_met_before(prints, u, v, top >> 10, (top >> 8) & 3)
+    # Rows of one document are one node, under whichever group they are.
+    reps, node = np.unique(rep, return_inverse=True)
+    u, v = _spanning(len(reps), node[u[first]], node[v[first]])
+    return pa.RecordBatch.from_arrays([pa.array(reps[u]), pa.array(reps[v])], ["a", "b"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         return [*cols, np.stack([batch.column(5 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], axis=1)]
@@ -193,108 +193,181 @@ def _links(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             last = np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]))[0]
             if last:
-                yield from _join([c[:last] for c in cols], sure, most)
+                yield _join([c[:last] for c in cols], most)
             held = [[c[last:] for c in cols]]
             size = len(cols[0]) - last
     if size:
-        yield from _join([np.concatenate(x) for x in zip(*held, strict=True)], sure, most)
+        yield _join([np.concatenate(x) for x in zip(*held, strict=True)], most)
 
 
 def _candidates(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, far) for rows (rep, w0, w1, ...) with distinct fingerprints.
+    """Links (a, b) that connect rows (rep, w0, w1, ...), fingerprints distinct, wherever two may have the similarity.
 
     A band's row meets those that share a quarter of it. A group with over GROUP rows is divided by quarters of what
-    is open, until its open bits are few; from then on, leaders stand for rows that share all of the band.
+    is open, until its open bits are few; leaders stand for rows that share all of the band.
     """
     words = [f"w{k}" for k in range(WORDS)]
     bands = ", ".join(f"struct({2 * k + h} as b, shiftrightunsigned(w{k}, {32 * h}) & 4294967295 as r)" for k in range(WORDS) for h in (0, 1))
     rows = prints.withColumn("__b", F.expr(f"explode(array({bands}))")).select("rep", *words, F.col("__b.b").alias("__path"), F.col("__b.r").alias("__rest"), F.lit(32).alias("__left"))
     rows = rows.withColumn("__path", F.col("__path").cast("long"))
     ready = None
-    for level in range(1, 5):
+    for level in range(1, len(_DEEPER)):
         rows = simhash._divide(rows, level, *words)
         large = materialize(rows.groupBy("__path").count().where(f"count > {simhash.GROUP}").select("__path"), "large")
         whole = large.isEmpty()
-        part = rows if whole or level == 4 else rows.join(large, "__path", "left_anti")
+        part = rows if whole or level == len(_DEEPER) - 1 else rows.join(large, "__path", "left_anti")
         ready = part if ready is None else ready.unionByName(part)
         if whole:
             break
         rows = rows.join(large, "__path", "left_semi")
-    sure, most = thresholds(similarity)
+    most = threshold(similarity)
     ready = ready.select("__level", "__path", "__rest", "__left", "rep", *words).repartition("__level", "__path").sortWithinPartitions("__level", "__path", "__rest")
-    return ready.mapInArrow(lambda it: _links(it, sure, most), "a long, b long, far long")
-
-
-def _shingled(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, shingles) from (doc_id, text): the number of distinct shingles, and their sorted hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "shingles"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, shingles binary")
+    return ready.mapInArrow(lambda it: _links(it, most), "a long, b long")
+
+
+class _Overlaps:
+    """Shingle sets of a group, by shingle: one set is held against all that are left in a single pass over its shingles."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float) -> None:
+        self.similarity, self.sizes = similarity, np.array([len(s) for s in sets], np.int64)
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(self.sizes)
+        self.own = [at[e - n : e] for e, n in zip(ends.tolist(), self.sizes.tolist(), strict=True)]
+        order = np.argsort(at, kind="stable")
+        self.sets = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.first = np.searchsorted(at[order], np.arange(len(tokens) + 1))
+        self.left = len(sets)
+
+    def similar_to(self, x: int) -> np.ndarray:
+        """The sets left that have the similarity to x."""
+        begin, count = self.first[self.own[x]], self.first[self.own[x] + 1] - self.first[self.own[x]]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)
+        if 8 * len(at) > len(self.sizes):
+            counts = np.bincount(self.sets[at], minlength=len(self.sizes))
+            y = np.flatnonzero(counts)
+            both = counts[y]
+        else:
+            y, both = np.unique(self.sets[at], return_counts=True)
+        return y[both / (self.sizes[x] + self.sizes[y] - both) >= self.similarity]
+
+    def keep(self, mask: np.ndarray) -> None:
+        """Leave only the sets of the mask; done once they have become few, so that all such calls cost little."""
+        if 2 * (n := int(mask.sum())) > self.left:
+            return
+        self.left, kept = n, mask[self.sets]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        self.sets, self.first = self.sets[kept], before[self.first]
+
+
+def _grouped(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first set of each set's component, of those that links of the similarity connect."""
+    label = np.arange(len(sets))
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.zeros(2, int) if both and both / (len(sets[0]) + len(sets[1]) - both) >= similarity else label
+    found, new = _Overlaps(sets, similarity), np.ones(len(sets), bool)
+    for seed in range(len(sets)):
+        if not new[seed]:
+            continue
+        new[seed], ahead = False, [seed]
+        while ahead:
+            near = found.similar_to(ahead.pop())
+            near = near[new[near]]
+            new[near], label[near] = False, seed
+            ahead += near.tolist()
+            found.keep(new)
+    return label
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Runs of rows that are alike in the first columns, as lists of the others' values."""
+    held, last = None, None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:keys] != last:
+                if held:
+                    yield held
+                held, last = [[] for _ in row[keys:]], row[:keys]
+            for values, x in zip(held, row[keys:], strict=True):
+                values.append(x)
+    if held:
+        yield held
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, la, lb) of ids whose shingle sets have the similarity; sets: (doc_id, n, shingles), ids once."""
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                s, t = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both >= similarity * (len(s) + len(t) - both))
-            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "sa", "sb")
-    return joined.mapInArrow(run, "a long, b long, la long, lb long")
+def _set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
 
 
-def _settled(found: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(node, component) from links (a, b, far): the certain ones, and those that the texts (doc_id, text) confirm.
+def _by_text(rows: DataFrame, similarity: float, width: int, limit: int | None = None) -> DataFrame:
+    """Links (a, b) that connect rows (component, node, text) of a component wherever two texts have the similarity.
 
-    A pair is only compared if its nodes are not connected yet, the nearest first: in each round a node has twice as many
-    compared as before, until no pair is left. So a dense group needs few comparisons rather than all its pairs. Sets
-    whose sizes alone rule the similarity out are not compared.
+    A task holds a component. One of more than `limit` bytes is dealt into blocks, and a sample of all its rows, as large as
+    a block, is one block more that connects those of different blocks. Rows that are then still apart from
+    the largest part of their component meet every block, so no link is lost; there are few unless
+    a group is large and alike but not similar.
     """
-    comps = materialize(connected_components(found.where("far = 0").select("a", "b")), "components")
-    pool = materialize(found.where("far > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far")), "pool")
-    asked = pool.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = rows.join(asked, rows["doc_id"] == asked["__id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialize(_shingled(texts, width), "sets")
-    na, nb = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pool = pool.join(na, "a").join(nb, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)).select("a", "b", "far")
-    most = NEAREST
-    while True:
-        a, b = (comps.select(F.col("node").alias(x), F.col("component").alias(f"l{x}")) for x in "ab")
-        known = pool.select("a", "b", "far").join(a, "a", "left").join(b, "b", "left")
-        pool = materialize(known.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb"), "pool")
-        if pool.isEmpty():
-            break
-        place = lambda x: F.row_number().over(Window.partitionBy(x).orderBy("far", "a", "b"))
-        ranked = materialize(pool.withColumn("pa", place("a")).withColumn("pb", place("b")), "pool")
-        drop_table(pool)
-        first = F.least("pa", "pb") <= most
-        most *= 2
-        links = materialize(_compared(ranked.where(first), sets, similarity), "links")
-        pool = ranked.where(~first)
-        merged = materialize(connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "merged")
-        every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
-        moved = merged.select(F.col("node").alias("component"), F.col("component").alias("__to"))
-        comps = materialize(every.join(moved, "component", "left").select("node", F.coalesce("__to", "component").alias("component")), "components")
-    return comps
+    limit = limit or LIMIT
+    rows = materialize(rows, "grouped")
+    sizes = rows.groupBy("component").agg(F.sum(F.octet_length("text") + 64).alias("bytes")).where(F.col("bytes") > limit)
+    large = materialize(sizes.select("component", F.ceil(F.col("bytes") / limit).cast("int").alias("blocks")), "large")
+    split = not large.isEmpty()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, texts in _groups(batches, 2):
+            if len(nodes) > 1:
+                label = _grouped([_set(t, width) for t in texts], similarity)
+                away = np.flatnonzero(label != np.arange(len(label))).tolist()
+                yield _pairs([nodes[i] for i in away], [nodes[label[i]] for i in away])
+
+    dealt = rows.withColumn("block", F.lit(0))
+    if split:
+        place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+        large_rows = materialize(rows.join(large, "component").withColumn("block", place(1, F.col("blocks"))), "large")
+        sample = large_rows.where(place(2, F.col("blocks")) == 0).withColumn("block", F.lit(-1))
+        dealt = dealt.join(large, "component", "left_anti").unionByName(large_rows.drop("blocks")).unionByName(sample.drop("blocks"))
+    dealt = dealt.select("component", "block", "node", "text").repartition("component", "block").sortWithinPartitions("component", "block")
+    links = materialize(dealt.mapInArrow(first, "a long, b long"), "links")
+    if not split:
+        return links
+
+    parts = connected_components(links)
+    known = large_rows.join(parts.select("node", F.col("component").alias("__part")), "node", "left").withColumn("part", F.coalesce("__part", "node")).drop("__part")
+    known = materialize(known.withColumn("size", F.octet_length("text") + 64), "known")
+    by_part = known.groupBy("component", "part").agg(F.sum("size").alias("size"))
+    main = by_part.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    main = materialize(main.select("component", "main", F.ceil((F.col("all") - F.col("most")) / limit).cast("int").alias("chunks")).where("chunks > 0"), "main")
+    known = known.join(main, "component").withColumn("apart", F.col("part") != F.col("main"))
+    held = known.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
+    asking = known.where("apart").withColumn("chunk", place(3, F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts, asks, texts in _groups(batches, 3):
+            index = _Overlaps([_set(t, width) for t in texts], similarity)
+            names, label = np.unique(parts, return_inverse=True)
+            forest = simhash._Forest(len(names))
+            for x in np.flatnonzero(asks).tolist():
+                near = np.unique(label[index.similar_to(x)])
+                forest.join(np.full(len(near), label[x]), near)
+            away = np.flatnonzero(forest.label != np.arange(len(names)))
+            yield _pairs(names[away].tolist(), names[forest.label[away]].tolist())
+
+    both = held.unionByName(asking).select("component", "block", "chunk", "part", "asks", "text")
+    more = both.repartition("component", "block", "chunk").sortWithinPartitions("component", "block", "chunk").mapInArrow(second, "a long, b long")
+    return links.unionByName(materialize(more, "links"))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
     """Return (doc_id, component_id), one row for each id: component_id is the least id that links lead to.
 
-    Texts link at `similarity` or more of their shingle sets. Texts with the same fingerprint, such as equal ones and all those
-    without a word, are one node. Fingerprints miss about one pair in fifty at the similarity itself, which no band finds, and fewer above; what they
-    link is as similar but for one pair in a hundred near it, and those that the texts decide are exact. Nulls are
-    empty; rows without an id are left out; an id's rows count by their first text in order; an empty table gives an empty result.
+    Texts link at `similarity` or more of their shingle sets, which is decided exactly. Texts with the same fingerprint, such as
+    equal ones and all those without a word, are one node. The fingerprints' bands pass over about one pair in fifty
+    at the similarity itself, unless other texts connect the two, and fewer above. Nulls are empty; rows without an id are
+    left out; of an id's rows all texts count; an empty table gives an empty result.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
 
@@ -306,8 +379,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     words = [f"w{k}" for k in range(WORDS)]
     prints = materialize(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{w} long" for w in words)), "prints")
     nodes = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep")), "nodes")
-    found = materialize(_candidates(nodes, similarity).distinct(), "pairs")
-    comps = _settled(found, rows, similarity, width)
+    possible = materialize(connected_components(_candidates(nodes, similarity)), "possible")
+    links = _by_text(rows.join(possible, rows["doc_id"] == possible["node"]).select("component", "node", "text"), similarity, width)
+    comps = materialize(connected_components(links), "components")
     member = prints.join(nodes, words).select("doc_id", "rep")
     return member.join(comps, member["rep"] == comps["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
 
