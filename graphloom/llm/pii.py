@@ -42,6 +42,12 @@ def luhn(digits: str) -> bool:
     return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def _is_octet(digits: str) -> bool:
+    """At most 255, whatever the number of digits."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from each @: the longest run of local characters before it, then a domain."""
     done, at = 0, text.find("@")
@@ -57,7 +63,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start; matches that fail their check are dropped."""
     spans = [(0, *s) for s in _emails(text)]
-    spans += [(1, *m.span()) for m in IP.finditer(text) if all(int(p[:9]) <= 255 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+    spans += [(1, *m.span()) for m in IP.finditer(text) if all(map(_is_octet, m[0].split(".")))] if "." in text else []
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             spans.append((2, *m.span()))
