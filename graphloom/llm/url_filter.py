@@ -19,7 +19,7 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression over `host path` or, if site is false, over the whole URL.
+    """Regular expressions: `pattern` over the whole URL or, if there is a `path`, over the host, with `path` over the path.
 
     literals: tokens (runs of a-z and 0-9 after lower-casing) that every URL that fits contains as whole tokens.
     """
@@ -28,7 +28,7 @@ class Rule:
     pattern: str
     literals: tuple[str, ...]
     verdict: str
-    site: bool = False
+    path: str | None = None
 
 
 def site_rule(name: str, verdict: str) -> Rule:
@@ -38,7 +38,7 @@ def site_rule(name: str, verdict: str) -> Rule:
     if whole and path[-1:].translate(_LOWER).isalnum():
         whole.pop()  # the last token may go on in the URL
     literals = dict.fromkeys([*_TOKEN.findall(host.translate(_LOWER)), *whole])
-    return Rule(name, rf"(?:[^ ]*\.)?{re.escape(host.translate(_LOWER))} {re.escape('/' + path)}", tuple(literals), verdict, True)
+    return Rule(name, rf"(?s:.*\.)?{re.escape(host.translate(_LOWER))}\Z", tuple(literals), verdict, re.escape(f"/{path}"))
 
 
 #: Fixed values of the contract.
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, site_rules: list[Rule] = SITE_RULES, pattern_rules:
     index = rare_index(rules, literal_counts(pages, rules, url))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern) for r in rules]
+        compiled = [(re.compile(r.pattern), None if r.path is None else re.compile(r.path)) for r in rules]
         for b in batches:
             out = []
             for u in b.column(1).to_pylist():
@@ -111,11 +111,11 @@ def judge(pages: DataFrame, site_rules: list[Rule] = SITE_RULES, pattern_rules:
                 tried = [*index.get(None, []), *(i for t in set(_TOKEN.findall((u or "").translate(_LOWER))) for i in index.get(t, []))]
                 site, pattern = None, None
                 for i in sorted(tried):
-                    rule = rules[i]
-                    if rule.site and compiled[i].match(f"{host} {path}"):
-                        site = rule if site is None or len(rule.name) > len(site.name) else site
-                    elif not rule.site and pattern is None and compiled[i].search(u or ""):
-                        pattern = rule
+                    rule, (whole, start) = rules[i], compiled[i]
+                    if start is None:
+                        pattern = pattern or (rule if whole.search(u or "") else None)
+                    elif start.match(path) and whole.match(host) and (site is None or len(rule.name) > len(site.name)):
+                        site = rule
                 decided = site or pattern
                 out.append((host, path, site and site.name, decided.verdict if decided else default, pattern.name if pattern and not site else None, len(tried)))
             cols = list(zip(*out, strict=True)) or [[]] * 6
