@@ -23,8 +23,10 @@ KAPPA, ALPHA = 4.0, 0.5
 NONE = "und"
 CHUNK = 1 << 20
 
-_SCRIPT = re.compile(rb"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(rb"<[^>]*>")
+_HIDDEN = re.compile(rb"<(script|style)\b", re.I)
+_CLOSING = {name: re.compile(rb"</" + name + rb"\s*+>", re.I) for name in (b"script", b"style")}
+#: A tag ends at the next bracket of either kind, so that brackets that open nothing cost one look each.
+_TAG = re.compile(rb"<[^<>]*+>")
 #: Words with a digit (numbers, keys, addresses) are in no language.
 _NUMBER = re.compile(rb"(?<!\S)[^\s0-9]*+[0-9]\S*")
 
@@ -53,7 +55,20 @@ class TextModel:
 
 
 def strip_markup(html: bytes) -> bytes:
-    return _TAG.sub(b" ", _SCRIPT.sub(b" ", html))
+    """Text without tags, scripts and styles, in one pass; what is never closed stays."""
+    parts, at, ends = [], 0, {}
+    for m in _HIDDEN.finditer(html):
+        name = m[1].lower()
+        if m.start() < at or ends.get(name, 0) is None:
+            continue
+        if ends.get(name, -1) < m.end() and (close := _CLOSING[name].search(html, m.end())) is None:
+            ends[name] = None  # nor does any later one end
+            continue
+        elif ends.get(name, -1) < m.end():
+            ends[name] = close.end()
+        parts += [html[at : m.start()], b" "]
+        at = ends[name]
+    return _TAG.sub(b" ", b"".join([*parts, html[at:]]))
 
 
 def fit_text(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:

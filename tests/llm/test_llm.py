@@ -293,6 +293,52 @@ def test_pii_base():
     assert [text[s:e] for k, s, e in got if k == 3] == ["+1 (052) 555-0934"]
 
 
+def test_pii_base_on_long_runs_of_digits():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    assert pii.base_spans("9" * 5000 + ".1.1.1 " + "1" * 6000 + " +" + "2" * 6000) == []
+    assert pii.base_spans("255.256.1.1 00255.0.0.000 1.2.3.1000") == [(1, 12, 25)]
+
+
+def test_pii_base_by_the_plain_patterns():
+    rng = random.Random(6)
+    plain = {2: r"[0-9]([\x20-]?[0-9])+", 3: r"\+[0-9][\x20().0-9-]+[0-9]", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"}
+    holds = {
+        0: lambda m: True,
+        1: lambda m: all(int(p) <= 255 for p in m.split(".")),
+        2: lambda m: 16 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d))) % 10 == 0,
+        3: lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    found = Counter()
+    for _ in range(3000):
+        t = "".join(rng.choice("0123456789 .-+()@a") for _ in range(60)) + rng.choice(["", " 4539578763621486", " 4539 5787 6362 1486", "x4539-5787 63621486-", " 10.0.0.7", "1.1.2.3.4.5"])
+        want = [(k, *m.span()) for k in range(4) for m in re.finditer(plain[k], t) if holds[k](m[0])]
+        assert pii.base_spans(t) == want, t
+        found.update(k for k, *_ in want)
+    assert all(found[k] > 10 for k in range(4))
+
+
+def test_marginals_of_the_field_by_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    texts = ["a1b2 c3 a1b2 +1 555 mia@x.org", "mia.k@x.org 77", "x 12 y"]
+    bases = [pii.base_spans(t) for t in texts]
+    f = pii.Field(texts, bases)
+    labels = 1 + len(pii.KINDS)
+    w = pii.Weights(rng.normal(0, 0.3, (pii.FEATURES, labels)), rng.normal(0, 0.3, (labels, labels)), 0.7)
+    unary = f.x @ w.node
+    total, sums = 0.0, np.zeros((f.n, labels))
+    for y in itertools.product(range(labels), repeat=f.n):
+        if any(b and y[i] != b for i, b in enumerate(f.base)):
+            continue
+        p = np.exp(sum(unary[i, y[i]] for i in range(f.n) if not f.base[i]) + sum(w.chain[y[a], y[b]] for a, b in f.chain) + sum(w.skip * (y[a] == y[b]) for a, b in f.skip))
+        total += p
+        for i in range(f.n):
+            sums[i, y[i]] += p
+    assert f.n >= 6 and len(f.skip) and len(f.chain)
+    assert np.abs(pii.propagate(f, w) - sums / total).max() < 0.03  # loops are short of exact
+
+
 def test_pii_field(spark, docs, rows):
     got = {r["doc_id"]: r for r in collected(pii.find_pii(docs))}
     r = got[3 * 13 + 1]
@@ -375,6 +421,7 @@ def test_mixing(docs, rows, spark):
 
 def test_url_filter(spark):
     urls = [None, "", "nonsense", "http://A.Example.org/es/1", "https://example.org/en/12#x", "http://notexample.org/en/1", "http://example.org", "ftp://x.com/fr/?q", "http://y.com/de/é", "http://z.net/a.pdf?x", "http://z.net/login", "http://z.net/logins", "http://z.net/cart", "http://z.net/?sid=4", "http://z.net/ok"]
+    urls += ["http://foo bar.org/x", "http://a\nb.org\n", "http://b.org\n/x", "http:// org/q", "http://org", "http://x.COM/fr/", "http://x.com /fr/", "http://user@x.com:80/fr/", "http://x.com/de/\n" + "y" * 200_000, "://com/fr/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: r for r in collected(url_filter.judge(df))}
     rules = sorted(url_filter.SITE_RULES, key=lambda r: -len(r.name))
@@ -387,6 +434,12 @@ def test_url_filter(spark):
     assert got[3]["rule"] == "example.org/es/" and got[6]["rule"] is None and got[9]["verdict"] == "block"
 
 
+def test_url_filter_on_repeated_rows_and_other_columns(spark):
+    rows = [(1, "http://a.org/x", "h", "r"), (1, "http://a.org/x", "h", "r"), (None, "http://a.org/x", None, None)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string, rule string"))
+    assert sorted((r.page_id or 0, r.host, r.rule) for r in got.collect()) == [(0, "a.org", "org/"), (1, "a.org", "org/"), (1, "a.org", "org/")]
+
+
 def test_url_filter_finds_rules_whose_literal_is_part_of_a_token(spark):
     urls = [f"http://z.net/{x}" for x in ("userlogin", "accountlogin", "user/login", "a/userlogin?x=1", "login", "userlogins", "mylogin")]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -533,6 +586,16 @@ def test_packing(docs, rows):
         assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist() and sum(n for _, n in parts) <= 64
 
 
+def test_markup_that_never_ends_takes_no_longer():
+    import time
+
+    began = time.process_time()
+    for t in (b"<" * 5_000_000, b"<script>" * 300_000, b"<style><script>" * 100_000, b"<script>" + b"</script " * 300_000):
+        assert language_id.strip_markup(t)
+    assert time.process_time() - began < 10
+    assert language_id.strip_markup(b"a<script x='1'>b<i>c</i></script>d<Style>q</sTyle >e<p>f < g") == b"a d e f < g"
+
+
 def test_language_id(spark):
     random.seed(1)
     en, de = "the of and to in that was for with this".split(), "der die und das nicht ein ist mit auf für".split()
