@@ -13,7 +13,8 @@ RANGE, FEW = 50_000, 1_000_000
 def _ranges(df: DataFrame, order: str, rows: int) -> tuple[DataFrame, int]:
     low, high, n = df.agg(F.min(order).cast("long"), F.max(order).cast("long"), F.count("*")).first()
     width = max(1, ((high or 0) - (low or 0) + 1) * rows // max(1, n))
-    return df.withColumn("__range", F.floor((F.col(order).cast("long") - F.lit(low or 0)) / width)), n // rows + 1
+    # In doubles, whose rounding keeps the order, as far values may be more than a long apart.
+    return df.withColumn("__range", F.floor((F.col(order).cast("double") - F.lit(float(low or 0))) / F.lit(float(width)))), n // rows + 1
 
 
 def _back(rows: DataFrame, sums: DataFrame, count: int) -> DataFrame:
