@@ -63,7 +63,7 @@ def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "a b c", None, None), (None, None, "en", "s"), (7, "a b c", "en", "s"), (8, "x", "en", None)], "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in collected(exact_dedup.exact_dedup(df)) if r["text_sha256"] == hashlib.sha256(b"a b c").hexdigest()}
     assert got[7]["kept"] and not got[None]["kept"] and got[7]["group_size"] == 2
-    for f, n in ((ngram_lm.ngram_scores, 4), (pii.find_pii, 4), (mixing.mix, 4), (language_id.identify_documents, 4), (simhash.simhash_components, 2), (order_minhash.fingerprints, 2), (token_counts.token_counts, 2), (similar.similar_components, 2)):
+    for f, n in ((ngram_lm.ngram_scores, 4), (pii.find_pii, 4), (mixing.mix, 4), (language_id.identify_documents, 4), (simhash.simhash_components, 2), (order_minhash.fingerprints, 4), (token_counts.token_counts, 2), (similar.similar_components, 2)):
         assert f(df).count() == n, f
     assert packing.pack(df).agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in library_ids(["a b c", "", "a b c", "x"]))
     assert {r.doc_id for r in similar.drop_near_copies(df).collect()} == {None, 7, 8}
@@ -462,19 +462,17 @@ def plain_signature(text):
             h = xxhash.xxh64(x if isinstance(x, bytes) else x.to_bytes(8 if isinstance(x, np.int64) else 4, "little", signed=True), seed=h).intdigest()
         return h
 
-    w, k, place, low = [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", text) if x], order_minhash.K, order_minhash.PLACE, (1 << 35) - 1
+    w, k, low = [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", text) if x], order_minhash.K, (1 << order_minhash.ORDER) - 1
     seen, elements = Counter(), []
     for i in range(max(0, len(w) - k) + 1 if w else 0):
         h = hashed(*w[i : i + k]) & low
         n, seen[h] = seen[h], seen[h] + 1
-        elements.append((hashed(np.int64(h).item().to_bytes(8, "little"), n) & low if n else h, i))
-    least = sorted(elements)[: order_minhash.MINIMA]
+        elements.append((hashed(h.to_bytes(8, "little"), n) & low if n else h, i))
     out = []
-    for j in range(order_minhash.SIZE):
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        ranked = sorted((signed(hashed(e.to_bytes(8, "little"), j)) >> 8 << 8 | i, i) for i, (e, _) in enumerate(least))
-        two = sorted((least[i] for _, i in ranked[:2]), key=lambda e: e[1])
-        out.append(hashed(j, *(e.to_bytes(8, "little") for e, _ in two)) & 0xFFFFFF)
+    for j, start in enumerate(sorted(order_minhash.starts())):
+        two = sorted(elements, key=lambda e: ((e[0] - start - 1) & low, e[1]))[:2]
+        two = sorted(2 * two if len(two) == 1 else two, key=lambda e: e[1])
+        out.append(hashed(j, *(e.to_bytes(8, "little") for e, _ in two)) & 0xFFFFFF if two else 0)
     return out
 
 
@@ -507,7 +505,9 @@ def test_likeness_is_not_biased_by_length(spark):
 
 def test_order_minhash_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "RANGE", 3)
-    ids = random.sample(range(-500, 10_000), 60)
+    ids = [*random.sample(range(-500, 10_000), 57), 1 << 62, -(1 << 62), (1 << 62) + 1]  # far ids leave the others' ranges as they are
+    ranges = order_minhash._dealt(spark.createDataFrame([(i,) for i in ids], "doc_id long"))[0].groupBy("range").count()
+    assert ranges.agg(F.max("count")).first()[0] <= 12
     df = spark.createDataFrame([(i, f"t{i} {words(8)}") for i in ids], "doc_id long, text string")
     texts = {r.doc_id: r.text for r in df.collect()}
     ids.sort()
