@@ -373,21 +373,54 @@ def test_ngram_scores(docs, rows):
     assert len(got) == len(rows)
     texts = [(i, (t or "").encode().lower().split()) for i, t, *_ in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    one, two, before = Counter(), Counter(), Counter()
+    count = Counter()  # of n-grams; the start of a text is 0, its end None
     for i, w in texts:
         if not held(i):
-            one.update([*w, None])
-            two.update(zip([0, *w], [*w, None], strict=True))
-            before.update([0, *w])
-    n, v, m = sum(one.values()), len(one), ngram_lm.PRIOR
-    root = lambda w: (one[w] + 1) / (n + v + 1)
+            line = [0, *w, None]
+            count.update((x,) for x in line)
+            count.update(zip(line, line[1:], strict=False))
+            count.update(zip(line, line[1:], line[2:], strict=False))
+    n, v = sum(c for g, c in count.items() if len(g) == 1 and g != (0,)), sum(len(g) == 1 and g != (0,) for g in count)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 1) / (n + v + 1)
+        m = ngram_lm.PRIOR[len(gram) - 2]
+        return (count[gram] + m * p(gram[1:])) / (count[gram[:-1]] + m)
+
     by = {r["doc_id"]: r for r in got}
     for i, w in texts:
-        steps = list(zip([0, *w], [*w, None], strict=True))
-        r = by[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w) + 1, sum(one[x] > 0 for x in [*w, None]), n)
-        assert math.isclose(r["base_score"], sum(math.log10(root(b)) for _, b in steps), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10((two[s] + m * root(s[1])) / (before[s[0]] + m)) for s in steps), rel_tol=1e-9)
+        line, r = [0, *w, None], by[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w) + 1, sum(count[(x,)] > 0 for x in line[1:]), n)
+        assert math.isclose(r["base_score"], sum(math.log10(p((x,))) for x in line[1:]), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(line[max(0, k - 2) : k + 1]))) for k in range(1, len(line))), rel_tol=1e-9)
+
+
+def test_the_automaton_by_hand():
+    """Two failure arcs in a row, from a history of two words to the root, and states that are carried on."""
+    local = [b"a", b"b", b"c", b"z"]
+    keys = np.array([int(ngram_lm.END_KEY), int(ngram_lm.START_KEY), *map(xxhash.xxh64_intdigest, local)], np.uint64)
+    a, b, c, z, end = 2, 3, 4, 5, ngram_lm.END
+    row = {"ids": [1, 2], "held": [False, True], "lengths": [4, 5], "words": keys.tobytes(), "tokens": zlib.compress(np.array([a, b, c, end, a, b, z, b, end], np.uint16).tobytes())}
+    block = ngram_lm._Block(row)
+    words, grams = block.counts()
+    m = ngram_lm.Automaton(block, words, grams, 4, 4, (2.0, 3.0))
+    assert m.kind[m.to].tolist()[:3] == [2, 2, 2] and m.kind[m.to].tolist()[4:8] == [2, 2, 0, 1]
+    root = lambda n: (n + 1) / 9
+    one = lambda n: (n + 2 * root(1)) / 3
+    two = lambda n: (n + 3 * one(1)) / 4
+    first = [one(1), two(1), two(1), two(1)]
+    # a and b as above; z fails from (a, b) to b to the root and leaves it there; b then comes from the root, the end from b
+    second = [one(1), two(1), 3 / 4 * (2 / 3) * root(0), root(1), 2 / 3 * root(1)]
+    assert m.scores() == pytest.approx([sum(map(math.log10, x)) for x in (first, second)])
+
+
+def test_messages_follow_the_distinct_ngrams(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, False, " ".join(f"w{rng.randint(0, 50)}" for _ in range(20)).encode()) for i in range(400)], "doc_id long, held boolean, text binary").repartition(4)
+    blocks = ngram_lm._blocks(df, 200).cache()
+    sent = ngram_lm._asked(blocks, blocks.count()).agg(F.count("*"), F.sum(F.col("n_words") + F.col("n_grams")), F.min(F.col("n_words") + F.col("n_grams"))).first()
+    assert blocks.count() > 200 and sent[0] <= sent[1] <= 3 * 22 * 400 and sent[2] >= 1
 
 
 def test_held_out_texts_are_likelier_than_by_words_alone(spark):
