@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,14 +163,40 @@ def lanes(a: Column, b: Column, op: str) -> Column:
     return F.zip_with(a, b, lambda x, y: do(x.cast("float"), y.cast("float")).cast("float"))
 
 
-def genetic(population: list[int], generations: int, seed: int = 1) -> int:
-    """A small optimiser on the driver: keeps the half that scores lowest, refills it by seeded mutation, and reports the
-    best of the last generation by score, which is the value itself (OP-X30). For a user's short list, not for tables."""
-    state, at = seed, list(population)
+#: Size that a population is refilled to, and multiplier and increment of the generator of pairs.
+POPULATION, MULTIPLIER, INCREMENT = 100, 6364136223846793005, 1
+
+
+def genetic(population: Column, generations: int, fitness: Callable[[int], int] = int) -> Column:
+    """The best of a population, a list of non-negative longs, after some generations (OP-X30).
+
+    A generation keeps the half of the least fitness and refills to POPULATION with means, rounded down, of two members,
+    children among them, which the generator picks; each list starts it at one. The result is the largest by fitness, of
+    equals the last. A list of under two members leaves nothing to keep: null. Each row is a search of its own, so rows
+    are all there is to distribute.
+    """
+
+    @F.pandas_udf("long")
+    def search(lists: pd.Series) -> pd.Series:
+        return pd.Series([_searched(list(map(int, x)), generations, fitness) if x is not None else None for x in lists], dtype="Int64")
+
+    return search(population)
+
+
+def _searched(members: list[int], generations: int, fitness: Callable[[int], int]) -> int | None:
+    state = 1
+
+    def pick() -> int:
+        nonlocal state
+        state = (state * MULTIPLIER + INCREMENT) & 0xFFFFFFFFFFFFFFFF
+        return members[state % len(members)]
+
     for _ in range(generations):
-        kept = sorted(at)[: max(1, len(at) // 2)]
-        at = list(kept)
-        while len(at) < len(population):
-            state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-            at.append(kept[state % len(kept)])
-    return max(at)
+        members = sorted(members, key=fitness)
+        del members[len(members) // 2 :]
+        if not members:
+            return None
+        while len(members) < POPULATION:
+            a, b = pick(), pick()
+            members.append((a + b) // 2)
+    return max(reversed(members), key=fitness) if members else None

@@ -58,15 +58,27 @@ def subtypes(extends: DataFrame) -> DataFrame:
     return G.closure(extends, reflexive=True)
 
 
-def held_locks(trace: DataFrame) -> DataFrame:
+#: Accesses that a stretch of a trace has on average.
+STRETCH = 64
+
+
+def held_locks(trace: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(thread, seq, target, held) of each access: the locks whose last action before it was to acquire (OP-D9).
 
-    For each access, each lock's last action comes from a join on the thread, pre-aggregated by (access, lock).
+    A thread holds a lock from an acquisition to the next action on it. Such spans are cut at stretches of the trace and
+    meet the accesses of their own stretches alone, so a thread with most of the rows is many keys. The rows of the
+    join follow the locks that are held, which is the answer's size.
     """
     accesses = trace.where("action = 'access'").select("thread", F.col("seq").alias("at"), F.col("target").alias("object"))
-    locks = trace.where("action != 'access'").select("thread", "seq", F.col("target").alias("lock"), "action")
-    last = accesses.join(locks, "thread").where("seq < at").groupBy("thread", "at", "lock").agg(F.max_by("action", "seq").alias("action")).where("action = 'acquire'")
-    held = last.groupBy("thread", "at").agg(F.sort_array(F.collect_set("lock")).alias("held"))
+    low, high, n = accesses.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0)) * stretch // max(n, 1))
+    place = lambda c: F.floor((c - F.lit(low or 0)) / F.lit(width))
+    following = F.lead("seq").over(Window.partitionBy("thread", "target").orderBy("seq"))
+    spans = trace.where("action != 'access'").withColumn("until", F.coalesce(following, F.lit((high or 0) + 1))).where("action = 'acquire'")
+    spans = spans.select("thread", F.col("target").alias("lock"), "seq", "until").where((F.col("until") > (low or 0)) & (F.col("seq") < (high or 0)))
+    spans = spans.withColumn("stretch", F.explode(F.sequence(place(F.greatest("seq", F.lit(low or 0))), place(F.least("until", F.lit(high or 0))))))
+    met = accesses.withColumn("stretch", place(F.col("at"))).join(spans, ["thread", "stretch"]).where("seq < at and at < until")
+    held = met.groupBy("thread", "at").agg(F.sort_array(F.collect_set("lock")).alias("held"))
     return accesses.join(held, ["thread", "at"], "left").select("thread", F.col("at").alias("seq"), F.col("object").alias("target"), F.coalesce("held", F.array().cast("array<string>")).alias("held"))
 
 

@@ -42,10 +42,52 @@ def query_request(symbols: DataFrame, request: Mapping[str, object]) -> DataFram
 
 def truncated(items: Column, most: int = 30) -> Column:
     """The first items of a list, and a note of how many were left out (OP-F4)."""
-    note = F.concat(F.lit("... "), (F.size(items) - most).cast("string"), F.lit(" more"))
+    note = F.concat(F.lit("... ("), (F.size(items) - most).cast("string"), F.lit(" more items truncated)"))  # a fixed value
     return F.when(F.size(items) > most, F.concat(F.slice(items, 1, most), F.array(note))).otherwise(items)
 
 
+#: Ends of names of types, and parts of paths of definitions, that say nothing about a program's domain.
+NOISE_TYPES = ("String", "&str", "bool", "u64", "usize", "f64", "f32", "i32", "()", "std::string::String")
+NOISE_DEFINITIONS = ("as std::clone", "as std::fmt", "as std::error", "as std::convert", "as std::default", "as std::ops")
+#: Kinds of content that are context rather than conversation.
+CONTEXT = ("user_editable_context", "model_editable_context")
+
+
+def is_noise_type(name: Column) -> Column:
+    """Whether a type's name ends like one of the noise types (OP-F11)."""
+    return reduce(Column.__or__, [name.endswith(x) for x in NOISE_TYPES])
+
+
+def is_noise_definition(path: Column) -> Column:
+    """Whether a definition is one of a standard trait (OP-F11)."""
+    return reduce(Column.__or__, [path.contains(x) for x in NOISE_DEFINITIONS])
+
+
+def is_message(role: Column, content_type: Column, parts: Column) -> Column:
+    """Whether an event is part of a conversation: neither editable context nor a system text of blank parts (OP-F12).
+
+    Null parts of a list are blank; a message without a list is kept.
+    """
+    blank = F.forall(parts, lambda p: F.coalesce(p, F.lit("")).rlike(r"^\s*$"))
+    empty = (role == "system") & (content_type == "text") & blank
+    return ~F.coalesce(content_type.isin(*CONTEXT), F.lit(False)) & ~F.coalesce(empty, F.lit(False))
+
+
+def reconnect(dead: DataFrame, live: DataFrame) -> DataFrame:
+    """(id, best, score) of dead items (id, inputs): the live item (id, module, inputs) that shares most of their input types.
+
+    The score is the number of the dead item's inputs that the live one has too, over the dead one's inputs and one
+    (OP-G33). Of equal scores the shorter module is best, then the lesser id; without a shared type there is none,
+    and the score is zero. Items meet by shared types alone.
+    """
+    asked = dead.select("id", F.explode(F.array_distinct("inputs")).alias("type"))
+    offered = live.select(F.col("id").alias("best"), F.length("module").alias("__length"), F.explode(F.array_distinct("inputs")).alias("type"))
+    shared = asked.join(offered, "type").groupBy("id", "best", "__length").agg(F.count("*").alias("n"))
+    top = shared.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "__length", "best")).alias("t"))
+    joined = dead.select("id", F.size(F.array_distinct("inputs")).alias("__size")).join(top, "id", "left")
+    return joined.select("id", F.col("t.best").alias("best"), F.coalesce(-F.col("t.n") / (F.col("__size") + 1), F.lit(0.0)).alias("score"))
+
+
 def is_visible(symbol_module: Column, from_module: Column, scope: Column, path: Column) -> Column:
     """Whether a symbol can be used from a module, by its scope (OP-F6)."""
     crate = lambda m: F.split(m, "::")[0]
@@ -91,19 +133,46 @@ def not_contained(part: DataFrame, whole: DataFrame, key: Sequence[str]) -> Data
     return part.select(*key).distinct().join(whole.select(*key), list(key), "left_anti")
 
 
+def nearest_ancestors(nodes: DataFrame, separator: str = "::") -> DataFrame:
+    """(key, parent): for each key, the longest key that is a proper prefix of it by whole parts, if there is one (OP-J10).
+
+    A key meets its own prefixes only, as many as it has parts.
+    """
+    parts = F.split("key", F.lit("\\Q" + separator + "\\E"))
+    prefixes = nodes.select("key").distinct().withColumn("__parts", parts).where(F.size("__parts") > 1)
+    prefixes = prefixes.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("__parts") - 1), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("__parts", F.lit(1), n), separator).alias("parent")))).alias("p"))
+    known = nodes.select(F.col("key").alias("parent")).distinct()
+    met = prefixes.select("key", "p.n", "p.parent").join(known, "parent")
+    return met.groupBy("key").agg(F.max_by("parent", "n").alias("parent"))
+
+
+def postconditions(rows: DataFrame, outputs: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(function, condition, holds, counterexample): whether the outputs that functions name are never negative in rows (OP-M24).
+
+    A condition over no value holds; the counterexample is the least value. This judges the data that are there; what holds
+    for all data takes a solver.
+    """
+    named = [(f, o) for f, found in outputs.items() for o in found]
+    least = rows.agg(*[F.min(o).cast("double").alias(f"m{i}") for i, (_, o) in enumerate(named)])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("function"), F.lit(f"non_negative({o})").alias("condition"), F.col(f"m{i}").alias("least")) for i, (f, o) in enumerate(named)]))
+    found = least.select(each.alias("c")).select("c.*")
+    return found.select("function", "condition", F.coalesce(F.col("least") >= 0, F.lit(True)).alias("holds"), F.when(F.col("least") < 0, F.col("least")).alias("counterexample"))
+
+
 def best_match(items: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, best): the candidate of the best tier (same module, parent module, any of the kind), then the highest score,
     the shortest module and the least id (OP-J15, OP-T5).
 
-    items: (id, kind, module, parent); candidates: (cid, kind, cmodule, score). Each tier joins on its own key, and the
-    last only needs each kind's best candidate, so no item meets all candidates.
+    items: (id, kind, module, parent); candidates: (cid, kind, cmodule, score). Each tier only needs the best candidate of a kind
+    and module, or of a kind, so an item meets one candidate a tier.
     """
-    rank = F.struct("tier", (-F.col("score")).alias("s"), F.length("cmodule").alias("l"), "cid")
-    kinds = candidates.groupBy("kind").agg(F.min(F.struct((-F.col("score")).alias("s"), F.length("cmodule").alias("l"), "cid", "cmodule", "score")).alias("b"))
-    same = items.join(candidates, (items["kind"] == candidates["kind"]) & (items["module"] == candidates["cmodule"])).select("id", F.lit(1).alias("tier"), "score", "cmodule", "cid")
-    near = items.join(candidates, (items["kind"] == candidates["kind"]) & (items["parent"] == candidates["cmodule"])).select("id", F.lit(2).alias("tier"), "score", "cmodule", "cid")
-    far = items.join(kinds, "kind").select("id", F.lit(3).alias("tier"), "b.score", "b.cmodule", "b.cid")
-    return same.unionByName(near).unionByName(far).groupBy("id").agg(F.min(rank).alias("b")).select("id", F.col("b.cid").alias("best"), F.col("b.tier").alias("tier"))
+    order = F.struct((-F.col("score")).alias("s"), F.length("cmodule").alias("l"), "cid")
+    best = candidates.groupBy("kind", "cmodule").agg(F.min(order).alias("b"))
+    kinds = candidates.groupBy("kind").agg(F.min(order).alias("b"))
+    tier = lambda n, rows: rows.select("id", F.struct(F.lit(n).alias("tier"), "b").alias("t"))
+    met = [tier(n, items.join(best.withColumnRenamed("cmodule", c), ["kind", c])) for n, c in ((1, "module"), (2, "parent"))]
+    met.append(tier(3, items.join(kinds, "kind")))
+    return reduce(DataFrame.unionByName, met).groupBy("id").agg(F.min("t").alias("t")).select("id", F.col("t.b.cid").alias("best"), F.col("t.tier").alias("tier"))
 
 
 def fusion_pairs(edges: DataFrame, units: DataFrame) -> DataFrame:

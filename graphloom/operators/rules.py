@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.graph import closure, peel
+from graphloom.operators.graph import closure, peel, scc
 from graphloom.operators.relational import KIND_SCOPES, STAGE_KINDS
 from graphloom.plans.ordered import previous
+from graphloom.store import materialize
 
 Tables = Mapping[str, DataFrame]
 
@@ -192,6 +193,29 @@ class Exists:
         return _rows(none, self.rule, F.lit(self.table), self.detail)
 
 
+#: The kinds of node that a function's syntax tree may have.
+AST_KINDS = (
+    "block", "let", "if", "match", "while", "return", "call", "call_stmt", "lit", "bin", "cmp", "logical", "unary", "field", "index", "method",
+    "struct_lit", "tuple", "array", "ref", "ref_expr", "range", "cast", "question", "for", "loop", "break", "continue", "assign", "compound_assign",
+    "closure", "if_expr", "match_expr", "input",
+)
+
+
+@dataclass(frozen=True)
+class KnownKinds:
+    """Nodes of a JSON tree, at any depth, whose kind is none of those allowed; a row for each node (OP-R9)."""
+
+    rule: str
+    table: str
+    column: str
+    kinds: tuple = AST_KINDS
+
+    def check(self, t: Tables) -> DataFrame:
+        found = F.regexp_extract_all(F.col(self.column), F.lit('"kind"\\s*:\\s*"([^"\\\\]*)"'), F.lit(1))
+        unknown = t[self.table].select("id", F.explode(found).alias("__kind")).where(~F.col("__kind").isin(*self.kinds))
+        return _rows(unknown, self.rule, F.col("id"), F.concat(F.lit("unknown kind of node: "), "__kind"))
+
+
 @dataclass(frozen=True)
 class PublicCallee:
     """Calls of functions that are not public (OP-R3)."""
@@ -255,7 +279,7 @@ STANDARD_RULES = [
     Holds("EffectsAreDeltas", "functions", "effects_are_deltas", "effects outside deltas"),
     Refers("EffectsAreDeltas", "functions", "deltas", "deltas", many=True),
     Holds("EffectsAreDeltas", "functions", "size(deltas) = size(array_distinct(deltas))", "a delta twice"),
-    Holds("FunctionAst", "functions", "ast is null or forall(regexp_extract_all(ast, '\"kind\"\\\\s*:\\\\s*\"([^\"]*)\"', 1), k -> k in ('input', 'literal', 'call', 'binary', 'let', 'struct', 'field', 'if', 'block', 'return'))", "unknown kind of node"),
+    KnownKinds("FunctionAst", "functions", "ast"),
     Refers("StructShape", "structs", "module", "modules", required=True),
     Holds("StructShape", "structs", "size(fields) = size(array_distinct(transform(fields, f -> f.name)))", "a field twice"),
     Refers("StructShape", "enums", "module", "modules", required=True),
@@ -308,15 +332,61 @@ STANDARD_RULES = [
 ]
 
 
-#: What a cluster of violations is called by the rules that it holds (OP-R26).
-CLASSES = {"dangling": ("DeltaProofs", "ImplBinding", "ExecutionOnlyInImpl", "TickRoot", "PlanArtifacts"), "structure": ("ModuleDag", "ModuleSelfImport", "CallGraphAcyclic", "TickGraphAcyclic"), "legality": ("DeltaPipeline", "ProofScope", "CallGraphPublicApis", "CallGraphRespectsDag")}
-
-
-def diagnose(violations: DataFrame) -> DataFrame:
-    """(rule, n, class, example): clusters by rule with their defect class, most frequent first (OP-R26, OP-T6, OP-Y16)."""
-    kind = reduce(lambda c, kv: c.when(F.col("rule").isin(*kv[1]), kv[0]), CLASSES.items(), F)
-    clusters = violations.groupBy("rule").agg(F.count("*").alias("n"), F.min("subject").alias("example"))
-    return clusters.withColumn("class", kind.otherwise("contract")).orderBy(F.desc("n"), "rule")
+#: The names of defect classes.
+MISSING_EMIT, WRONG_VALUE, WRONG_DIRECTION = "MissingEmit", "WrongValue", "WrongDirection"
+MISSING_CONTEXT, OVER_CONSTRAINT, CYCLE = "MissingContext", "ValidatorOverConstraint", "CycleDetected"
+
+
+def _defect_class(rule: str, own: DataFrame, t: Tables) -> tuple[str, DataFrame | None]:
+    """The class of a rule's violations, by what the tables hold; with a cycle's class, the cycles (id, component)."""
+    subjects = own.select(F.col("subject").alias("__subject")).distinct()
+    failing = lambda name: t[name].join(subjects, F.col("id").cast("string") == F.col("__subject"), "left_semi")
+    if rule == "VersionEvolution":
+        return OVER_CONSTRAINT, None
+    if rule == "ExecutionOnlyInImpl" and "functions" in t and "impls" in t:
+        lone = failing("functions").where(F.col("impl_id").cast("string").endswith(".standalone"))
+        return (WRONG_VALUE if lone.join(t["impls"].select(F.col("id").alias("impl_id")), "impl_id", "left_anti").isEmpty() else MISSING_EMIT), None
+    if rule == "ImplBinding" and "impls" in t:
+        blank = failing("impls").where(F.col("trait_id").cast("string") == "")
+        about_traits = own.where(F.col("detail").contains("trait"))
+        return (WRONG_VALUE if blank.isEmpty() or about_traits.isEmpty() else OVER_CONSTRAINT), None
+    if rule in ("CallGraphRespectsDag", "ModuleDag") and "module_edges" in t:
+        edges = t["module_edges"].select(F.col("from").alias("src"), F.col("to").alias("dst"))
+        if edges.isEmpty():
+            return MISSING_EMIT, None
+        nodes = t["modules"].select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+        parts = scc(nodes, edges)
+        cycles = parts.join(parts.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
+        if not cycles.isEmpty():
+            return CYCLE, cycles
+        callers = failing("functions").select(F.col("module").alias("id")).distinct() if "functions" in t else nodes.limit(0)
+        ends = callers.join(edges.select(F.col("dst").alias("id")), "id", "left_semi").join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+        return (MISSING_CONTEXT if ends.isEmpty() else WRONG_DIRECTION), None
+    return WRONG_VALUE, None
+
+
+def diagnose(violations: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(rule, n, class, example, cycle): clusters by rule with their defect class, most frequent first (OP-R26, OP-T6, OP-Y16).
+
+    The class follows from the rule and the tables: a function whose standalone impl is not there, or module edges that are
+    not, were never emitted; impls without a trait, and versions, are judged too strictly; rules over modules
+    name the cycle of the least module, else callers' modules that only receive edges point the wrong way, and all
+    others lack context; whatever else is wrong is a value. There are as many jobs as rules; only flags reach the driver.
+    """
+    found = materialize(violations, "violations")
+    clusters = found.groupBy("rule").agg(F.count("*").alias("n"), F.min("subject").alias("example"))
+    out = []
+    for rule in sorted(r["rule"] for r in clusters.select("rule").collect()):  # of a list of rules, so few
+        name, cycles = _defect_class(rule, found.where(F.col("rule") == rule), tables or {})
+        one = clusters.where(F.col("rule") == rule).withColumn("class", F.lit(name))
+        if cycles is None:
+            out.append(one.withColumn("cycle", F.lit(None).cast("array<string>")))
+        else:
+            least = cycles.groupBy("component").agg(F.sort_array(F.collect_list(F.col("id").cast("string"))).alias("cycle"))
+            least = least.agg(F.min_by("cycle", "component").alias("cycle")).withColumn("rule", F.lit(rule))
+            out.append(one.join(least, "rule").select(*one.columns, "cycle"))
+    none = clusters.limit(0).withColumn("class", F.lit("")).withColumn("cycle", F.lit(None).cast("array<string>"))
+    return reduce(DataFrame.unionByName, out, none).orderBy(F.desc("n"), "rule")
 
 
 def layout_violations(routes: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:

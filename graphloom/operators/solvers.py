@@ -14,8 +14,11 @@ GRAPH_OF = {
     "Renames": "name", "Resolves": "name", "TypeOf": "type", "TypeUnifies": "type", "Calls": "call", "Contains": "module",
     "ImplFor": "module", "CfgEdge": "cfg", "CfgBranch": "cfg", "Outlives": "region", "ConstDep": "value", "Expands": "macro",
 }
-#: The order in which kinds are emitted.
-BUCKETS = ("Use", "TypeAlias", "Const", "Static", "Enum", "Struct", "Trait", "Impl", "Function", "Method")
+#: The kinds' places in the order of emission, which compare as text.
+BUCKETS = {
+    "Crate": "0_crate", "Module": "1_module", "Use": "2_use", "Struct": "3_struct", "Enum": "3_enum", "Trait": "4_trait", "TypeAlias": "5_tyalias",
+    "Const": "5b_const", "Static": "5c_static", "Impl": "6_impl", "Function": "7_fn", "Method": "8_method", "TypeRef": "9_tyref", "MacroCall": "9b_macro",
+}
 
 
 def route(edges: DataFrame) -> DataFrame:
@@ -109,15 +112,18 @@ def live_order(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     return nodes.where("kind != 'Function' or visibility = 'pub'").unionByName(nodes.where("kind = 'Function' and visibility != 'pub'").join(live, "id", "left_semi"))
 
 
-def bucket(kind: Column) -> Column:
-    pairs = [F.lit(x) for i, k in enumerate(BUCKETS) for x in (k, i)]
-    return F.coalesce(F.create_map(*pairs)[kind], F.lit(len(BUCKETS)))
+def emission_name(nodes: DataFrame) -> Column:
+    """What a node is sorted by within its bucket: impls by struct and trait, what has a path by that, others by name."""
+    col = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+    impl = F.concat(F.coalesce(col("struct"), F.lit("")), F.lit("__"), F.coalesce(col("trait"), F.lit("")))
+    return F.when(F.col("kind") == "Impl", impl).when(F.col("kind").isin("Module", "Use", "MacroCall"), F.coalesce(col("path"), F.col("name"))).otherwise(F.col("name"))
 
 
 def stable_order(nodes: DataFrame) -> DataFrame:
-    """(id, bucket, pos): place within the kind's bucket by name, then id (OP-V15, OP-T3)."""
-    ranked = nodes.withColumn("bucket", bucket(F.col("kind")))
-    return ranked.select("id", "bucket", F.row_number().over(Window.partitionBy("bucket").orderBy("name", "id")).alias("pos"))
+    """(id, bucket, pos): the order is by bucket, then place within it: by name, ties by id (OP-V15, OP-T3)."""
+    pairs = [F.lit(x) for kv in BUCKETS.items() for x in kv]
+    ranked = nodes.withColumn("bucket", F.create_map(*pairs)[F.col("kind")]).withColumn("__name", emission_name(nodes))
+    return ranked.select("id", "bucket", F.row_number().over(Window.partitionBy("bucket").orderBy("__name", "id")).alias("pos"))
 
 
 def unmentioned(variants: DataFrame, bodies: DataFrame) -> DataFrame:

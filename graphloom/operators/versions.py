@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -190,12 +190,79 @@ class VersionStore:
         return self.spark.read.parquet(f"{self.path}/checkpoints/{name}")
 
 
-def rollout(state: DataFrame, step, utility: Column, depths: Sequence[int]) -> DataFrame:
-    """(depth, utility) of a state moved on by some numbers of steps, best first (OP-M18)."""
-    out, at = None, state
-    for d in range(1, max(depths) + 1):
+def rollout(state: DataFrame, step, reward: Column, depth: int, estimate: float | None = None, weight: float = 0.1) -> DataFrame:
+    """(depth, reward, utility) for each depth from 1 on: the sum of the rewards of that many steps (OP-M18).
+
+    step takes a state to the next; reward is an aggregate of the state that a step gives. A world model's estimate draws
+    the utility towards it: the reward and `weight` of what the estimate has over it.
+    """
+    rows, at = [], state
+    for d in range(1, depth + 1):
         at = materialize(step(at), "rollout")
-        if d in depths:
-            row = at.agg(utility.alias("utility")).select(F.lit(d).alias("depth"), "utility")
-            out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("utility"), "depth")
+        rows.append(at.agg(reward.cast("double").alias("step")).select(F.lit(d).alias("depth"), "step"))
+    if not rows:
+        return state.sparkSession.createDataFrame([], "depth int, reward double, utility double")
+    so_far = F.sum("step").over(Window.orderBy("depth"))  # a row a step
+    found = reduce(DataFrame.unionByName, rows).select("depth", so_far.alias("reward"))
+    bonus = F.lit(0.0) if estimate is None else (F.lit(float(estimate)) - F.col("reward")) * weight
+    return found.withColumn("utility", F.col("reward") + bonus)
+
+
+def best_depth(rollouts: DataFrame) -> DataFrame:
+    """The depth of the most utility, the least of equals (OP-M18)."""
+    return rollouts.orderBy(F.desc("utility"), "depth").limit(1)
+
+
+def verify(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule, subject) for what a snapshot of nodes (id, kind, name) and edges (src, dst, kind) must not have (OP-M3).
+
+    Ids twice; edges twice; edges without an end; a node in two containers; containment, regions, constants and macros that
+    go round. No row: the snapshot holds.
+    """
+    from graphloom.operators.graph import peel
+    from graphloom.operators.rules import snapshot_violations
+
+    out = [snapshot_violations(nodes, edges).select("rule", "subject")]
+    homes = edges.where("kind = 'Contains'").groupBy("dst").agg(F.countDistinct("src").alias("n")).where("n > 1")
+    out.append(homes.select(F.lit("OneContainer").alias("rule"), F.col("dst").cast("string").alias("subject")))
+    for kind in ("Contains", "Outlives", "ConstDep", "Expands"):
+        own = materialize(edges.where(F.col("kind") == kind).select("src", "dst"), "edges")
+        if not own.isEmpty():
+            ends = own.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            out.append(peel(ends, own).where("level is null").select(F.concat(F.lit("Acyclic"), F.lit(kind)).alias("rule"), F.col("id").cast("string").alias("subject")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def coarse_diff(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(part, before, after, changed) of two snapshots (nodes, edges): their nodes and edges by content, and the number of
+    vertices of each of the eight graphs that edges belong to (OP-M4)."""
+    from graphloom.operators.solvers import GRAPH_OF, route
+
+    def measured(nodes: DataFrame, edges: DataFrame, side: str) -> DataFrame:
+        content = lambda df, name: df.agg(F.count("*").alias(side), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias(f"h_{side}")).withColumn("part", F.lit(name))
+        ends = route(edges).select("graph", F.explode(F.array("src", "dst")).alias("id")).groupBy(F.concat("graph", F.lit("_graph")).alias("part")).agg(F.countDistinct("id").alias(side))
+        graphs = edges.sparkSession.createDataFrame([(f"{g}_graph",) for g in sorted(set(GRAPH_OF.values()))], "part string").join(ends, "part", "left").na.fill(0, [side])
+        return content(nodes, "nodes").unionByName(content(edges, "edge_hints")).unionByName(graphs, allowMissingColumns=True)
+
+    both = measured(*before, "before").join(measured(*after, "after"), "part")
+    return both.select("part", "before", "after", ((F.col("before") != F.col("after")) | ~F.col("h_before").eqNullSafe(F.col("h_after"))).alias("changed"))
+
+
+#: Structured edits of items and of their fields, and the change of the log that each is.
+NODE_EDITS = {"ReplaceNode": "UpdateNode", "InsertBefore": "AddNode", "InsertAfter": "AddNode", "DeleteNode": "RemoveNode", "MutateField": "UpdateNode", "ReorderItems": "UpdateNode", "MoveSymbol": "UpdateNode"}
+FIELD_EDITS = ("RenameIdent", "ChangeVisibility", "AddAttribute", "RemoveAttribute", "ReplaceSignature", "AddStructField", "RemoveStructField", "AddVariant", "RemoveVariant")
+
+
+def edit_changes(edits: DataFrame) -> DataFrame:
+    """Log rows (seq, part, op, key, payload) of structured edits (seq, edit, key, mutation, value, items) (OP-M25).
+
+    An insertion's key is the new item's and its value the neighbour's; a mutation names the field; a new order is a row
+    for each of its items, numbered by `part`. Edits or mutations of another name have a null op.
+    """
+    known = F.create_map(*[F.lit(x) for kv in NODE_EDITS.items() for x in kv])
+    op = F.when((F.col("edit") == "MutateField") & ~F.coalesce(F.col("mutation").isin(*FIELD_EDITS), F.lit(False)), F.lit(None)).otherwise(known[F.col("edit")])
+    payload = F.when(F.col("edit") == "MutateField", F.concat_ws(":", "mutation", "value")).when(F.col("edit") == "MoveSymbol", F.concat(F.lit("module:"), "value"))
+    payload = payload.when(F.col("edit").isin("InsertBefore", "InsertAfter"), F.concat_ws(":", "edit", "value")).otherwise(F.col("value"))
+    one = edits.where("edit != 'ReorderItems'").select("seq", F.lit(0).alias("part"), op.alias("op"), "key", payload.alias("payload"))
+    order = edits.where("edit = 'ReorderItems'").select("seq", F.posexplode("items").alias("part", "key"))
+    return one.unionByName(order.select("seq", "part", F.lit("UpdateNode").alias("op"), "key", F.concat(F.lit("position:"), F.col("part").cast("string")).alias("payload")))

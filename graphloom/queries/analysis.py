@@ -86,13 +86,13 @@ def d8_subtypes(t: Tables) -> DataFrame:
 
 
 TRACE = """trace AS (SELECT event_id AS seq, 't' || (user_id % 3) AS thread, CASE event_type WHEN 'view' THEN 'acquire' WHEN 'click' THEN 'release' ELSE 'access' END AS action,
-    CASE WHEN event_type IN ('view', 'click') THEN 'l' || (user_id % 2) ELSE 'o' || (event_id % 40) END AS target FROM events WHERE event_id < 400)"""
+    CASE WHEN event_type IN ('view', 'click') THEN 'l' || (user_id % 2) ELSE 'o' || (event_id % 40) END AS target FROM events)"""
 
 
 def trace(t: Tables) -> DataFrame:
     action = F.expr("case event_type when 'view' then 'acquire' when 'click' then 'release' else 'access' end")
     target = F.expr("if(event_type in ('view', 'click'), concat('l', user_id % 2), concat('o', event_id % 40))")
-    return t.events.where("event_id < 400").select(F.col("event_id").alias("seq"), F.expr("concat('t', user_id % 3)").alias("thread"), action.alias("action"), target.alias("target"))
+    return t.events.select(F.col("event_id").alias("seq"), F.expr("concat('t', user_id % 3)").alias("thread"), action.alias("action"), target.alias("target"))
 
 
 HELD = f"""{TRACE}, last AS (SELECT a.thread, a.seq AS acc, l.target AS lock, arg_max(l.action, l.seq) AS action FROM trace a JOIN trace l ON a.thread = l.thread AND l.seq < a.seq
@@ -268,10 +268,17 @@ def v14_liveness(t: Tables) -> DataFrame:
     return S.live_order(model_nodes(t), calls(t)).select("id", "kind")
 
 
-@query(f"""WITH {MODEL_NODES}, b AS (SELECT id, name, CASE kind WHEN 'Struct' THEN 5 WHEN 'Impl' THEN 7 WHEN 'Function' THEN 8 ELSE 10 END AS bucket FROM model)
-    SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY name, id)::INT AS pos FROM b""")
+@query(f"""WITH {MODEL_NODES}, b AS (
+        SELECT id, CASE kind WHEN 'Module' THEN 'crate::' || lower(name) WHEN 'Impl' THEN name || '__' || CASE WHEN id % 2 = 0 THEN 'T' || id % 7 ELSE '' END ELSE name END AS n,
+            CASE kind WHEN 'Crate' THEN '0_crate' WHEN 'Module' THEN '1_module' WHEN 'Struct' THEN '3_struct' WHEN 'Impl' THEN '6_impl' ELSE '7_fn' END AS bucket FROM model
+        UNION ALL SELECT -event_id, event_type, CASE event_id % 9 WHEN 0 THEN '2_use' WHEN 1 THEN '3_enum' WHEN 2 THEN '4_trait' WHEN 3 THEN '5_tyalias' WHEN 4 THEN '5b_const' WHEN 5 THEN '5c_static' WHEN 6 THEN '8_method' WHEN 7 THEN '9_tyref' ELSE '9b_macro' END FROM events)
+    SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY n, id)::INT AS pos FROM b""")
 def v15_stable_order(t: Tables) -> DataFrame:
-    return S.stable_order(model_nodes(t))
+    """Model nodes, impls with a trait for even ids, modules by their path; events stand for the kinds that the model lacks."""
+    kinds = F.array(*map(F.lit, ("Use", "Enum", "Trait", "TypeAlias", "Const", "Static", "Method", "TypeRef", "MacroCall")))
+    model = model_nodes(t).select("id", "kind", "name", F.expr("if(kind = 'Module', concat('crate::', lower(name)), null)").alias("path"), F.col("name").alias("struct"), F.expr("if(id % 2 = 0, concat('T', id % 7), null)").alias("trait"))
+    more = t.events.select((-F.col("event_id")).alias("id"), F.get(kinds, (F.col("event_id") % 9).cast("int")).alias("kind"), F.col("event_type").alias("name"))
+    return S.stable_order(model.unionByName(more, allowMissingColumns=True))
 
 
 @query(f"""WITH RECURSIVE {DAG}, loops AS (SELECT src, dst FROM flow UNION ALL SELECT src, src FROM flow WHERE src = 3),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
+from graphloom.operators.relational import reconnect
 from graphloom.queries.registry import query
 from graphloom.recipes import DAG, FLOW, NATIONS, Tables, closure_sql, dag, flow, nations
 
@@ -239,13 +240,19 @@ def g31_visibility_leaks(t: Tables) -> DataFrame:
     return out.where("a != b").select(F.col("src").alias("leaked"), F.col("dst").alias("seen_in"))
 
 
-@query(f"""WITH RECURSIVE {FLOW}, {NATIONS}, {ROOTS}, {REACH}, dead AS (SELECT id FROM nodes WHERE id NOT IN (FROM reach))
-    SELECT id, round(count(src) FILTER (src IN (FROM reach)) / (count(src) + 1.0), 9) AS score FROM dead LEFT JOIN flow ON dst = id GROUP BY 1""")
+@query(f"""WITH RECURSIVE {FLOW}, {NATIONS}, {ROOTS}, {REACH}, dead AS (SELECT id FROM nodes WHERE id NOT IN (FROM reach)),
+    takes AS (SELECT DISTINCT s_nationkey::BIGINT AS id, p_brand AS type FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity = 1),
+    shared AS (SELECT a.id, b.id AS best, count(*) AS n FROM takes a JOIN takes b USING (type) WHERE a.id IN (FROM dead) AND b.id IN (FROM reach) GROUP BY ALL),
+    top AS (SELECT shared.id, best, n FROM shared JOIN nodes ON nodes.id = best QUALIFY row_number() OVER (PARTITION BY shared.id ORDER BY n DESC, length(name), best) = 1)
+    SELECT dead.id, best, round(coalesce(n, 0) / ((SELECT count(*) FROM takes WHERE takes.id = dead.id) + 1.0), 9) AS score FROM dead LEFT JOIN top USING (id)""")
 def g33_dead_items(t: Tables) -> DataFrame:
-    live = G.reach(flow(t), roots(t)).withColumn("live", F.lit(1))
-    dead = nations(t).select("id").join(live, "id", "left_anti")
-    users = flow(t).select(F.col("dst").alias("id"), F.col("src")).join(live.withColumnRenamed("id", "src"), "src", "left")
-    return dead.join(users, "id", "left").groupBy("id").agg(F.round(F.count("live") / (F.count("src") + 1), 9).alias("score"))
+    """Nations that the roots do not reach, and the live one that shares most of the brands that either sells one by one."""
+    live = G.reach(flow(t), roots(t))
+    sold = t.lineitem.where("l_quantity = 1").select("l_suppkey", "l_partkey").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    takes = sold.groupBy(F.col("s_nationkey").cast("long").alias("id")).agg(F.collect_set("p_brand").alias("inputs"))
+    items = nations(t).withColumnRenamed("name", "module").join(takes, "id", "left").withColumn("inputs", F.coalesce("inputs", F.expr("cast(array() as array<string>)")))
+    found = reconnect(items.join(live, "id", "left_anti"), items.join(live, "id", "left_semi"))
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query()

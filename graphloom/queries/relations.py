@@ -17,10 +17,9 @@ def symbols(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind"), F.col("p_brand").alias("module"), F.col("p_name").alias("name"))
 
 
-@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE kind IN (SELECT kind FROM symbols WHERE id IN (1, 2)) AND starts_with(module, 'Brand') AND contains(lower(name), 'ring')")
+@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE kind IN ('ECONOMY', 'SMALL') AND starts_with(module, 'Brand') AND contains(lower(name), 'ring')")
 def f1_symbol_query(t: Tables) -> DataFrame:
-    kinds = [r["kind"] for r in symbols(t).where("id in (1, 2)").select("kind").distinct().collect()]  # two rows
-    return R.query_request(symbols(t), {"kinds": kinds, "module_prefix": "Brand", "name_contains": "RING"})
+    return R.query_request(symbols(t), {"kinds": ["ECONOMY", "SMALL"], "module_prefix": "Brand", "name_contains": "RING"})
 
 
 @query(f"WITH {SYMBOLS} SELECT count(*) AS total, count(*) FILTER (contains(lower(name), 'bolt')) AS matches FROM symbols")
@@ -29,7 +28,7 @@ def f2_query_report(t: Tables) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT s_nationkey AS id, list(s_name ORDER BY s_name) AS names FROM supplier GROUP BY 1)
-    SELECT id, array_to_string(CASE WHEN len(names) > 3 THEN list_append(names[1:3], '... ' || (len(names) - 3) || ' more') ELSE names END, ',') AS names FROM l""")
+    SELECT id, array_to_string(CASE WHEN len(names) > 3 THEN list_append(names[1:3], '... (' || (len(names) - 3) || ' more items truncated)') ELSE names END, ',') AS names FROM l""")
 def f4_truncated_lists(t: Tables) -> DataFrame:
     rows = t.supplier.groupBy(F.col("s_nationkey").alias("id")).agg(F.sort_array(F.collect_list("s_name")).alias("names"))
     return rows.select("id", F.array_join(R.truncated(F.col("names"), 3), ",").alias("names"))
@@ -75,15 +74,27 @@ def f10_illegal_stages(t: Tables) -> DataFrame:
     return d.join(F.broadcast(R.allowed(t.spark, R.STAGE_KINDS, "stage", "kind")), ["stage", "kind"], "left_anti").select("id")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE NOT regexp_matches(p_type, '(SMALL|PROMO)$') AND NOT contains(p_name, 'gear')")
+@query(f"""WITH p AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'my::' || p_type || 'String' WHEN 1 THEN 'usize' WHEN 2 THEN '(' || p_type || ', ())' ELSE p_type END AS type,
+        CASE p_partkey % 4 WHEN 0 THEN '<' || p_brand || ' as std::fmt::Debug>::fmt' WHEN 1 THEN '<' || p_brand || ' as std::iter::Iterator>::next' ELSE p_brand || '::' || p_name END AS path FROM part)
+    SELECT id FROM p WHERE NOT ({" OR ".join(f"ends_with(type, '{x}')" for x in R.NOISE_TYPES)}) AND NOT ({" OR ".join(f"contains(path, '{x}')" for x in R.NOISE_DEFINITIONS)})""")
 def f11_noise(t: Tables) -> DataFrame:
-    return t.part.where(~F.col("p_type").rlike("(SMALL|PROMO)$") & ~F.col("p_name").contains("gear")).select(F.col("p_partkey").alias("id"))
-
-
-@query("SELECT conv_id, turn FROM conversations WHERE NOT (role = 'system' AND trim(coalesce(text, '')) = '') AND role <> 'system'")
+    named = t.part.select(
+        F.col("p_partkey").alias("id"),
+        F.expr("case p_size % 5 when 0 then concat('my::', p_type, 'String') when 1 then 'usize' when 2 then concat('(', p_type, ', ())') else p_type end").alias("type"),
+        F.expr("case p_partkey % 4 when 0 then concat('<', p_brand, ' as std::fmt::Debug>::fmt') when 1 then concat('<', p_brand, ' as std::iter::Iterator>::next') else concat(p_brand, '::', p_name) end").alias("path"),
+    )
+    return named.where(~R.is_noise_type(F.col("type")) & ~R.is_noise_definition(F.col("path"))).select("id")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE (conv_id + turn) % 9 WHEN 0 THEN 'user_editable_context' WHEN 1 THEN 'model_editable_context' WHEN 2 THEN 'code' ELSE 'text' END AS kind,
+        CASE WHEN conv_id % 2 = 0 THEN [' ', NULL, chr(10)] WHEN conv_id % 5 = 0 THEN NULL ELSE [text, ''] END AS parts FROM conversations)
+    SELECT conv_id, turn FROM m WHERE kind NOT IN ('user_editable_context', 'model_editable_context')
+        AND NOT (role = 'system' AND kind = 'text' AND parts IS NOT NULL AND len(list_filter(parts, lambda p: NOT regexp_matches(coalesce(p, ''), '^\\s*$'))) = 0)""")
 def f12_messages(t: Tables) -> DataFrame:
-    empty = F.forall(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: F.trim(p) == "")
-    return t.conversations.where(~((F.col("role") == "system") & empty) & (F.col("role") != "system")).select("conv_id", "turn")
+    """Turns as events: every ninth is context of either kind, and those of even conversations have blank parts."""
+    kind = F.expr("case (conv_id + turn) % 9 when 0 then 'user_editable_context' when 1 then 'model_editable_context' when 2 then 'code' else 'text' end")
+    parts = F.expr("case when conv_id % 2 = 0 then array(' ', null, '\\n') when conv_id % 5 = 0 then null else array(text, '') end")
+    return t.conversations.where(R.is_message(F.col("role"), kind, parts)).select("conv_id", "turn")
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 22 ELSE n_regionkey END::INT AS n_regionkey FROM nation")
@@ -140,6 +151,19 @@ def j10_parent_keys(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_replace(F.substring_index(F.substring_index("url", "#", 1), "?", 1), "/[^/]*$", "").alias("parent"))
 
 
+KEYS = """keys AS (SELECT 'r' || r_regionkey AS key FROM region UNION ALL SELECT 'r' || n_regionkey || '::n' || n_nationkey FROM nation WHERE n_nationkey % 5 <> 0
+    UNION ALL SELECT 'r' || n_regionkey || '::n' || n_nationkey || '::' || c_mktsegment || '::c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+@query(f"""WITH {KEYS} SELECT k.key, p.key AS parent FROM keys k JOIN keys p ON starts_with(k.key, p.key || '::') QUALIFY row_number() OVER (PARTITION BY k.key ORDER BY length(p.key) DESC) = 1""")
+def j10_nearest_ancestor(t: Tables) -> DataFrame:
+    """Customers under their nation, or under its region where the nation is none of the keys."""
+    nation = F.expr("concat('r', n_regionkey, '::n', n_nationkey)")
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    keys = t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("key")).unionByName(t.nation.where("n_nationkey % 5 != 0").select(nation.alias("key")))
+    return R.nearest_ancestors(keys.unionByName(rows.select(F.concat_ws("::", nation, "c_mktsegment", F.concat(F.lit("c"), "c_custkey")).alias("key"))))
+
+
 @query("""SELECT coalesce(a.k, b.k) AS id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change
     FROM (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1) b ON a.k = b.k
     WHERE a.v IS DISTINCT FROM b.v""")
@@ -169,12 +193,12 @@ def j14_bounded_pairs(t: Tables) -> DataFrame:
 
 
 @query("""WITH items AS (SELECT s_suppkey AS id, s_suppkey % 4 AS kind, s_nationkey AS module, s_nationkey - s_nationkey % 5 AS parent FROM supplier),
-    cand AS (SELECT c_custkey AS cid, c_custkey % 4 AS kind, c_nationkey AS cmodule, c_custkey % 10 AS score FROM customer WHERE c_custkey % 9 = 0),
+    cand AS (SELECT c_custkey AS cid, c_custkey % 4 AS kind, c_nationkey AS cmodule, c_custkey % 10 AS score FROM customer),
     r AS (SELECT id, cid, CASE WHEN module = cmodule THEN 1 WHEN parent = cmodule THEN 2 ELSE 3 END AS tier, score, cmodule FROM items JOIN cand USING (kind))
     SELECT id, cid AS best, tier::INT AS tier FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, score DESC, length(cmodule::VARCHAR), cid) = 1""")
 def j15_best_match(t: Tables) -> DataFrame:
     items = t.supplier.select(F.col("s_suppkey").alias("id"), F.expr("s_suppkey % 4").alias("kind"), F.col("s_nationkey").alias("module"), F.expr("s_nationkey - s_nationkey % 5").alias("parent"))
-    cand = t.customer.where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("cid"), F.expr("c_custkey % 4").alias("kind"), F.col("c_nationkey").alias("cmodule"), F.expr("c_custkey % 10").alias("score"))
+    cand = t.customer.select(F.col("c_custkey").alias("cid"), F.expr("c_custkey % 4").alias("kind"), F.col("c_nationkey").alias("cmodule"), F.expr("c_custkey % 10").alias("score"))
     return R.best_match(items, cand)
 
 

@@ -13,11 +13,10 @@ from graphloom.queries.registry import query
 from graphloom.recipes import Tables
 
 
-@query("""WITH RECURSIVE s AS (SELECT doc_id, 1 AS i, strlen(text) - strlen(replace(text, 'th', 't')) AS n, text FROM documents),
-    o AS (SELECT doc_id, unnest(list_filter(range(1, length(text)::BIGINT), lambda i: text[i:i + 1] = 'th')) AS i, text FROM documents WHERE n_chars < 3000)
-    SELECT doc_id, strlen(text[1:i - 1])::INT AS at FROM o""")
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, 'th')) AS part, generate_subscripts(string_split(text, 'th'), 1) AS k, len(string_split(text, 'th')) AS n FROM documents)
+    SELECT doc_id, pos::INT AS at FROM (SELECT doc_id, k, n, sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY k) + 2 * (k - 1) AS pos FROM p) WHERE k < n""")
 def x1_occurrences(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars < 3000").select("doc_id", F.explode(X.occurrences(F.col("text"), "th")).alias("at"))
+    return t.documents.select("doc_id", F.explode(X.occurrences(F.col("text"), "th")).alias("at"))
 
 
 @query("SELECT page_id, unnest(list_filter(range(1, length(url)::BIGINT + 1), lambda i: url[i:i + 1] = 'tt'))::INT - 1 AS at FROM pages")
@@ -36,10 +35,10 @@ def x3_sieve(t: Tables) -> DataFrame:
     return X.primes(t.spark, 1000)
 
 
-@query("""WITH m AS (SELECT vec_id % 20 AS i, j - 1 AS j, sum(floor(embedding[j] * 100)::BIGINT)::BIGINT AS v FROM embeddings, range(1, 21) r(j) WHERE vec_id < 100 GROUP BY ALL)
+@query("""WITH m AS (SELECT vec_id % 64 AS i, j - 1 AS j, sum(floor(embedding[j] * 100)::BIGINT)::BIGINT AS v FROM embeddings, range(1, 65) r(j) GROUP BY ALL)
     SELECT a.i, b.j, sum(a.v * b.v)::BIGINT AS v FROM m a JOIN m b ON a.j = b.i GROUP BY ALL""")
 def x4_matmul(t: Tables) -> DataFrame:
-    cells = t.embeddings.where("vec_id < 100").select((F.col("vec_id") % 20).alias("i"), F.posexplode(F.slice("embedding", 1, 20)).alias("j", "x"))
+    cells = t.embeddings.select((F.col("vec_id") % 64).alias("i"), F.posexplode("embedding").alias("j", "x"))
     m = cells.groupBy("i", F.col("j").cast("long").alias("j")).agg(F.sum(F.floor(F.col("x") * F.lit(100).cast("float"))).alias("v"))
     return X.matmul(m, m)
 
@@ -65,27 +64,32 @@ def x8_parse_accept(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), X.three_tokens(text).alias("value"), X.accepts(symbols, delta, {0}).alias("even"))
 
 
-MERKLE = """l0 AS (SELECT (n_nationkey % 16)::BIGINT AS idx, sha256(string_agg(n_name, ',' ORDER BY n_name)) AS hash FROM nation WHERE n_nationkey < 16 GROUP BY 1),
-    l1 AS (SELECT idx // 2 AS idx, sha256(unhex(max(hash) FILTER (idx % 2 = 0) || max(hash) FILTER (idx % 2 = 1))) AS hash FROM l0 GROUP BY 1), l2 AS (SELECT idx // 2 AS idx, sha256(unhex(max(hash) FILTER (idx % 2 = 0) || max(hash) FILTER (idx % 2 = 1))) AS hash FROM l1 GROUP BY 1),
-    l3 AS (SELECT idx // 2 AS idx, sha256(unhex(max(hash) FILTER (idx % 2 = 0) || max(hash) FILTER (idx % 2 = 1))) AS hash FROM l2 GROUP BY 1), l4 AS (SELECT idx // 2 AS idx, sha256(unhex(max(hash) FILTER (idx % 2 = 0) || max(hash) FILTER (idx % 2 = 1))) AS hash FROM l3 GROUP BY 1)"""
+#: Leaves of the tree over orders.
+LEAVES = 256
+_UP = "l{1} AS (SELECT idx // 2 AS idx, sha256(unhex(max(hash) FILTER (idx % 2 = 0) || max(hash) FILTER (idx % 2 = 1))) AS hash FROM l{0} GROUP BY 1)"
+MERKLE = f"l0 AS (SELECT o_orderkey % {LEAVES} AS idx, sha256(count(*) || ':' || sum(o_custkey)::BIGINT) AS hash FROM orders GROUP BY 1), " + ", ".join(_UP.format(k, k + 1) for k in range(8))
 
 
 def _leaves(t: Tables) -> DataFrame:
-    return t.nation.where("n_nationkey < 16").select(F.col("n_nationkey").cast("long").alias("idx"), X.leaf_hash(F.col("n_name")).alias("hash"))
+    """Orders in LEAVES parts, each with what its rows add up to."""
+    parts = t.orders.groupBy((F.col("o_orderkey") % LEAVES).alias("idx")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
+    return parts.select("idx", X.leaf_hash(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string"))).alias("hash"))
 
 
-@query(f"WITH {MERKLE} SELECT 0 AS level, idx, hash FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3 UNION ALL SELECT 4, * FROM l4")
+@query(f"WITH {MERKLE} " + " UNION ALL ".join(f"SELECT {k} AS level, idx, hash FROM l{k}" for k in range(9)))
 def x9_merkle(t: Tables) -> DataFrame:
     return X.merkle_levels(_leaves(t))
 
 
-@query("SELECT true AS valid, 4::BIGINT AS steps")
+@query(f"WITH {MERKLE} " + " UNION ALL ".join(f"SELECT {k} AS level, hash, {5 >> k & 1} = 1 AS \"left\", true AS valid FROM l{k} WHERE idx = {5 >> k ^ 1}" for k in range(8)))
 def x9_merkle_proof(t: Tables) -> DataFrame:
+    """The way up from leaf 5, and whether it leads to the root."""
     levels = X.merkle_levels(_leaves(t))
-    path = X.merkle_proof(levels, 5).agg(F.sort_array(F.collect_list(F.struct("level", "hash", "left"))).alias("p"))
+    proof = X.merkle_proof(levels, 5)
     ends = levels.agg(F.max(F.when((F.col("level") == 0) & (F.col("idx") == 5), F.col("hash"))).alias("leaf"), F.max_by("hash", "level").alias("root"))
-    both = path.withColumn("one", F.lit(1)).join(ends.withColumn("one", F.lit(1)), "one")
-    return both.select(X.verify_proof(F.col("leaf"), F.col("p"), F.col("root")).alias("valid"), F.size("p").cast("long").alias("steps"))
+    path = proof.agg(F.sort_array(F.collect_list(F.struct("level", "hash", "left"))).alias("p"), F.lit(1).alias("one"))  # a row a level
+    valid = path.join(ends.withColumn("one", F.lit(1)), "one").select("one", X.verify_proof(F.col("leaf"), F.col("p"), F.col("root")).alias("valid"))
+    return proof.withColumn("one", F.lit(1)).join(valid, "one").drop("one")
 
 
 @query("""SELECT page_id, sha256(string_agg(h, '' ORDER BY i)) AS hash FROM (SELECT page_id, i, sha256(substr(html, i * 4096 + 1, 4096)) AS h FROM pages, range(0, 64) r(i) WHERE i * 4096 < length(html)) GROUP BY 1""")
@@ -213,9 +217,11 @@ def x29_knapsack(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), X.best_subset_sum(F.array(F.col("p_size"), F.lit(7), F.lit(11)), 30).alias("best"))
 
 
-@query("SELECT r_regionkey, 1 AS best FROM region")
+@query("""SELECT o_custkey, CASE WHEN count(*) > 1 THEN list_sort(list((o_totalprice * 100)::BIGINT))[count(*) // 2] END AS best FROM orders GROUP BY 1""")
 def x30_genetic(t: Tables) -> DataFrame:
-    return t.region.select("r_regionkey", F.lit(X.genetic([1, 5, 10, 7, 3], 10)).alias("best"))
+    """A generation over each customer's orders: children lie between their parents, so the best is the largest that is kept."""
+    lists = t.orders.groupBy("o_custkey").agg(F.collect_list(F.round(F.col("o_totalprice") * 100).cast("long")).alias("x"))
+    return lists.select("o_custkey", X.genetic(F.col("x"), 1).alias("best"))
 
 
 @query("SELECT p_partkey AS id, p_size * 2 AS doubled, p_size * 2 + 1 AS next, (p_size * 2) + (p_size * 2 + 1) AS total FROM part")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators import layout as L
+from graphloom.operators import relational as R
 from graphloom.operators import resolution as Y
 from graphloom.operators import versions as V
 from graphloom.operators.relational import differences, jaccard
+from graphloom.operators.solvers import GRAPH_OF
 from graphloom.queries.registry import query
-from graphloom.recipes import DAG, LOG, Tables, dag, log
+from graphloom.recipes import DAG, LOG, MODEL_EDGES, MODEL_NODES, NATION, Tables, dag, log, model_edges, model_nodes
 from graphloom.sources import dot, files
 from graphloom.store import materialize, own_dir
 
@@ -44,20 +49,33 @@ def m2_apply_changes(t: Tables) -> DataFrame:
     return V.apply_changes(a, V.changes(a, V.replay(log(t), 8000)))
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query(f"""WITH {MODEL_NODES}, {MODEL_EDGES}, more AS (FROM hints UNION ALL SELECT 1, n_nationkey + {NATION}, 'Contains' FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT {NATION}, 0, 'Contains' UNION ALL SELECT src, dst, kind FROM hints WHERE kind = 'ImplFor' AND src % 700 = 0),
+        ids AS (SELECT id FROM model UNION ALL SELECT id FROM model WHERE id % 301 = 0), inside AS (SELECT DISTINCT src, dst FROM more WHERE kind = 'Contains'),
+        round AS (SELECT id FROM (SELECT src AS id FROM inside UNION SELECT dst FROM inside) WHERE id = 0 OR id = {NATION} OR id IN (SELECT dst FROM inside WHERE src IN (0, {NATION})) OR id IN (SELECT b.dst FROM inside a JOIN inside b ON a.dst = b.src WHERE a.src IN (0, {NATION})))
+    SELECT 'UniqueNode' AS rule, id::VARCHAR AS subject FROM ids GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'UniqueEdge', src || '->' || dst FROM more GROUP BY src, dst, kind HAVING count(*) > 1
+    UNION ALL SELECT 'Endpoint', src || '->' || dst FROM (SELECT src, dst, unnest([src, dst]) AS e FROM more) WHERE e NOT IN (SELECT id FROM model) UNION ALL SELECT 'OneContainer', dst::VARCHAR FROM inside GROUP BY dst HAVING count(*) > 1 UNION ALL SELECT 'AcyclicContains', id::VARCHAR FROM round""")
 def m3_verify(t: Tables) -> DataFrame:
-    """The invariants of the snapshot that a replay gives: keys once, none removed."""
-    from graphloom.operators.rules import Unique
+    """A model with ids and edges twice, nations in two regions, and a region in one of its nations."""
+    edges = model_edges(t)
+    second = t.nation.where("n_nationkey % 6 = 0").select(F.lit(1).cast("long").alias("src"), (F.col("n_nationkey").cast("long") + NATION).alias("dst"), F.lit("Contains").alias("kind"))
+    back = t.spark.range(1).select(F.lit(NATION).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("Contains").alias("kind"))
+    more = edges.unionByName(second).unionByName(back).unionByName(edges.where("kind = 'ImplFor' and src % 700 = 0"))
+    nodes = model_nodes(t).select("id", "kind", "name")
+    return V.verify(nodes.unionByName(nodes.where("id % 301 = 0")), more)
+
 
-    return Unique("UniqueNode", "state", ("key",)).check({"state": V.replay(log(t))}).agg(F.count("*").alias("violations"))
+_VERTICES = " UNION ALL ".join(f"SELECT '{g}_graph' AS part, (SELECT count(DISTINCT e) FROM (SELECT unnest([src, dst]) AS e FROM {{0}} WHERE kind IN ({', '.join(repr(k) for k, x in sorted(GRAPH_OF.items()) if x == g)}))) AS n" for g in sorted(set(GRAPH_OF.values())))
 
 
-@query("SELECT 'orders' AS graph, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS before, (SELECT count(*) FROM orders) AS after, true AS differs UNION ALL SELECT 'part', (SELECT count(*) FROM part), (SELECT count(*) FROM part), false")
+@query(f"""WITH {MODEL_NODES}, {MODEL_EDGES}, later AS (SELECT src, dst, CASE WHEN kind = 'Calls' AND src % 4 = 0 THEN 'CfgEdge' ELSE kind END AS kind FROM hints WHERE kind <> 'ImplFor' OR src % 2 = 0),
+    a AS (SELECT 'nodes' AS part, (SELECT count(*) FROM model) AS n UNION ALL SELECT 'edge_hints', (SELECT count(*) FROM hints) UNION ALL {_VERTICES.format('hints')}),
+    b AS (SELECT 'nodes' AS part, (SELECT count(*) FROM model) AS n UNION ALL SELECT 'edge_hints', (SELECT count(*) FROM later) UNION ALL {_VERTICES.format('later')})
+    SELECT part, a.n AS before, b.n AS after, a.n <> b.n AS changed FROM a JOIN b USING (part)""")
 def m4_coarse_diff(t: Tables) -> DataFrame:
-    n = lambda df, name, side: df.agg(F.lit(name).alias("graph"), F.count("*").alias(side))
-    before = n(t.orders.where("o_orderkey % 2 = 0"), "orders", "before").unionByName(n(t.part, "part", "before"))
-    after = n(t.orders, "orders", "after").unionByName(n(t.part, "part", "after"))
-    return before.join(after, "graph").withColumn("differs", F.col("before") != F.col("after"))
+    """The model, and one with half of its impls and a quarter of its calls made control flow."""
+    nodes, edges = model_nodes(t).select("id", "kind", "name"), model_edges(t)
+    later = edges.where("kind != 'ImplFor' or src % 2 = 0").withColumn("kind", F.expr("if(kind = 'Calls' and src % 4 = 0, 'CfgEdge', kind)"))
+    return V.coarse_diff((nodes, edges), (nodes, later))
 
 
 @query(f"WITH {LOG}, {TWO} SELECT key, payload FROM a")
@@ -101,7 +119,7 @@ def m11_drift_bound(t: Tables) -> DataFrame:
 
 
 STRUCTURAL = """d AS (SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'AddField' WHEN 'click' THEN 'UpdateStructVisibility' WHEN 'error' THEN 'RemoveField' WHEN 'purchase' THEN 'AddStruct' ELSE 'Nothing' END AS payload,
-        CASE WHEN event_type IN ('view', 'error') THEN 's' || user_id % 120 || '.f' || event_id % 3 WHEN event_type = 'purchase' THEN 's' || user_id ELSE 's' || user_id % 120 END AS id, CASE WHEN event_type = 'view' THEN 's' || user_id % 120 END AS parent, event_id::VARCHAR AS value FROM events WHERE event_id < 2000),
+        CASE WHEN event_type IN ('view', 'error') THEN 's' || user_id % 120 || '.f' || event_id % 3 WHEN event_type = 'purchase' THEN 's' || user_id ELSE 's' || user_id % 120 END AS id, CASE WHEN event_type = 'view' THEN 's' || user_id % 120 END AS parent, event_id::VARCHAR AS value FROM events),
     base AS (SELECT -1 AS seq, 'AddStruct' AS payload, 's' || s_suppkey AS id, NULL AS parent, NULL AS value FROM supplier),
     r AS (SELECT *, CASE WHEN payload LIKE '%Field' THEN 'fields' ELSE 'structs' END AS collection FROM (FROM base UNION ALL FROM d) WHERE payload <> 'Nothing'),
     born AS (SELECT id AS p, min(seq) AS b FROM r WHERE payload IN ('AddField', 'AddStruct') GROUP BY 1),
@@ -115,7 +133,7 @@ def _structural(t: Tables) -> tuple[DataFrame, DataFrame]:
     payload = F.expr("case event_type when 'view' then 'AddField' when 'click' then 'UpdateStructVisibility' when 'error' then 'RemoveField' when 'purchase' then 'AddStruct' else 'Nothing' end")
     key = F.expr("case when event_type in ('view', 'error') then concat('s', user_id % 120, '.f', event_id % 3) when event_type = 'purchase' then concat('s', user_id) else concat('s', user_id % 120) end")
     parent = F.expr("if(event_type = 'view', concat('s', user_id % 120), null)")
-    return items, t.events.where("event_id < 2000").select(F.col("event_id").alias("seq"), payload.alias("payload"), key.alias("id"), parent.alias("parent"), F.col("event_id").cast("string").alias("value"))
+    return items, t.events.select(F.col("event_id").alias("seq"), payload.alias("payload"), key.alias("id"), parent.alias("parent"), F.col("event_id").cast("string").alias("value"))
 
 
 @query(f"""WITH {STRUCTURAL}, g AS (FROM x WHERE defect IS NULL), e AS (SELECT collection, id, arg_max(payload, seq) AS last, arg_max(parent, seq) AS parent FROM g WHERE payload <> 'UpdateStructVisibility' GROUP BY ALL)
@@ -154,15 +172,31 @@ def m13_application_checks(t: Tables) -> DataFrame:
     return V.verify_application(applied, deltas, t.spark.range(2).select(F.col("id").cast("int").alias("id")))
 
 
-@query("SELECT depth::INT AS depth, 25 * depth AS utility FROM range(1, 4) r(depth)")
+_ROLLOUT = """WITH RECURSIVE w AS (SELECT 0 AS depth, c_custkey AS id, c_custkey AS x FROM customer UNION ALL SELECT depth + 1, id, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END FROM w WHERE depth < 6),
+    r AS (SELECT depth, (count(*) FILTER (x % 2 = 0) - count(*) FILTER (x % 2 = 1))::DOUBLE AS step FROM w WHERE depth > 0 GROUP BY 1), u AS (SELECT depth::INT AS depth, sum(step) OVER (ORDER BY depth) AS reward FROM r)
+    SELECT depth, reward, round(reward + (1000 - reward) * 0.1, 6) AS utility FROM u"""
+
+
+def _rollout(t: Tables) -> DataFrame:
+    """Numbers that are halved or tripled; a step is worth the even ones over the odd ones."""
+    step = lambda df: df.withColumn("x", F.expr("if(x % 2 = 0, x div 2, 3 * x + 1)"))
+    reward = F.count_if(F.col("x") % 2 == 0) - F.count_if(F.col("x") % 2 == 1)
+    return V.rollout(t.customer.select(F.col("c_custkey").alias("x")), step, reward, 6, 1000.0).withColumn("utility", F.round("utility", 6))
+
+
+@query(_ROLLOUT)
 def m18_rollout(t: Tables) -> DataFrame:
-    step = lambda df: df.withColumn("x", F.col("x") + 1)
-    return V.rollout(t.nation.select(F.lit(0).cast("long").alias("x")), step, F.sum("x"), [1, 2, 3])
+    return _rollout(t)
+
+
+@query(_ROLLOUT + " ORDER BY utility DESC, depth LIMIT 1")
+def m18_best_depth(t: Tables) -> DataFrame:
+    return V.best_depth(_rollout(t))
 
 
 @query("SELECT o_custkey AS id, abs(count(*) FILTER (o_orderstatus = 'O') - count(*) FILTER (o_orderstatus = 'F')) AS error FROM orders GROUP BY 1")
 def m19_prediction_error(t: Tables) -> DataFrame:
-    n = lambda s: F.size(F.collect_list(F.when(F.col("o_orderstatus") == s, F.lit(1))))
+    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
     return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.abs(n("O") - n("F")).cast("long").alias("error"))
 
 
@@ -208,10 +242,48 @@ def m28_source_symbols(t: Tables) -> DataFrame:
     return T.source_symbols(_sources(t))
 
 
-@query("SELECT l_returnflag AS layout, count(DISTINCT l_orderkey) AS files FROM (SELECT l_orderkey, l_returnflag FROM lineitem) GROUP BY 1")
+_PLAIN = "regexp_replace(lower({}), '[^a-z0-9]', '_', 'g')"
+_MOD = "'file.' || regexp_replace(lower(module), '[^a-z0-9]', '_', 'g')"
+PARTS = """parts AS (SELECT s_suppkey AS id, 'Struct' AS kind, 'S-' || s_suppkey % 70 AS name, 'M::' || s_nationkey AS module, NULL::BIGINT AS struct, NULL::BIGINT AS impl FROM supplier
+    UNION ALL SELECT 1000000 + p_partkey, CASE p_size % 3 WHEN 0 THEN 'Impl' WHEN 1 THEN 'Enum' ELSE 'Trait' END, p_name, 'M::' || p_size % 25, CASE WHEN p_size % 3 = 0 THEN p_partkey % 120 END, NULL FROM part
+    UNION ALL SELECT 9000000 + c_custkey, 'Function', 'F ' || c_custkey, 'M::' || c_nationkey, NULL, CASE WHEN c_custkey % 2 = 0 THEN 1000000 + c_custkey END FROM customer)"""
+
+
+def _laid_out(t: Tables) -> DataFrame:
+    node = lambda df, key, first, kind, name, module, struct="null", impl="null": df.select(F.expr(f"{first} + {key}").cast("long").alias("id"), F.expr(kind).alias("kind"), F.expr(name).alias("name"), F.expr(f"concat('M::', {module})").alias("module"), F.expr(f"cast({struct} as bigint)").alias("struct"), F.expr(f"cast({impl} as bigint)").alias("impl"))
+    out = node(t.supplier, "s_suppkey", 0, "'Struct'", "concat('S-', s_suppkey % 70)", "s_nationkey")
+    out = out.unionByName(node(t.part, "p_partkey", 1_000_000, "case p_size % 3 when 0 then 'Impl' when 1 then 'Enum' else 'Trait' end", "p_name", "p_size % 25", "if(p_size % 3 = 0, p_partkey % 120, null)"))
+    return out.unionByName(node(t.customer, "c_custkey", 9_000_000, "'Function'", "concat('F ', c_custkey)", "c_nationkey", impl="if(c_custkey % 2 = 0, 1000000 + c_custkey, null)"))
+
+
+@query(f"""WITH {PARTS}, t AS (SELECT id, module, {_MOD} || '.' || {_PLAIN.format('name')} AS file, {_PLAIN.format('name')} || '.rs' AS path, kind FROM parts WHERE kind IN ('Struct', 'Enum', 'Trait')),
+    own AS (SELECT p.id, p.module, CASE WHEN p.kind = 'Impl' THEN p.struct ELSE i.struct END AS struct FROM parts p LEFT JOIN parts i ON p.kind = 'Function' AND i.kind = 'Impl' AND p.impl = i.id WHERE p.kind IN ('Impl', 'Function')),
+    typed AS (SELECT id AS node, module, file, path FROM t UNION ALL SELECT o.id, o.module, coalesce(t.file, 'file.' || {_PLAIN.format('o.module')} || '.mod'), coalesce(t.path, 'mod.rs') FROM own o LEFT JOIN t ON t.kind = 'Struct' AND t.id = o.struct AND t.module = o.module),
+    flat AS (SELECT id AS node, module, CASE kind WHEN 'Function' THEN 'fn' ELSE lower(kind) END AS w, CASE kind WHEN 'Impl' THEN id::VARCHAR ELSE {_PLAIN.format('name')} END AS s FROM parts)
+    SELECT 'per_type' AS strategy, * FROM typed UNION ALL SELECT 'single_file', id, module, {_MOD} || '.mod', 'mod.rs' FROM parts UNION ALL SELECT 'original', id, module, {_MOD} || '.mod', 'mod.rs' FROM parts
+    UNION ALL SELECT 'flat_nodes', node, module, {_MOD} || '.' || w || '.' || s, w || '_' || s || '.rs' FROM flat UNION ALL SELECT 'canonical_normalized', node, module, {_MOD} || '.' || w || '.' || s, w || '_' || s || '.rs' FROM flat""")
 def m30_layouts(t: Tables) -> DataFrame:
-    """Files that a layout by kind gives: each node's file is its group's."""
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("layout")).agg(F.countDistinct("l_orderkey").alias("files"))
+    """Each strategy's files for suppliers as structs, parts as impls, enums and traits, customers as functions."""
+    nodes = _laid_out(t)
+    base = L.layout(nodes, "single_file")
+    laid = [L.layout(nodes, s, base).withColumn("strategy", F.lit(s)) for s in ("original", *L.STRATEGIES)]
+    return reduce(DataFrame.unionByName, laid)
+
+
+@query("SELECT f AS function, 'non_negative(' || f || ')' AS condition, v >= 0 AS holds, CASE WHEN v < 0 THEN v END AS counterexample FROM (SELECT 'c_acctbal' AS f, min(c_acctbal) AS v FROM customer UNION ALL SELECT 'c_custkey', min(c_custkey) FROM customer UNION ALL SELECT 'c_nationkey', min(c_nationkey) FROM customer)")
+def m24_postconditions(t: Tables) -> DataFrame:
+    return R.postconditions(t.customer, {c: [c] for c in ("c_acctbal", "c_custkey", "c_nationkey")})
+
+
+@query("""WITH e AS (SELECT event_id AS seq, 'k' || user_id % 50 AS key, event_type, value FROM events), o AS (SELECT seq, unnest([0, 1]) AS part, unnest([key, 'k0']) AS key FROM e WHERE event_type = 'purchase')
+    SELECT seq, 0 AS part, CASE event_type WHEN 'view' THEN 'AddNode' WHEN 'error' THEN 'RemoveNode' WHEN 'click' THEN 'UpdateNode' END AS op, key, CASE event_type WHEN 'view' THEN 'InsertAfter:v' || seq WHEN 'click' THEN 'RenameIdent:v' || seq ELSE 'v' || seq END AS payload FROM e WHERE event_type <> 'purchase'
+    UNION ALL SELECT seq, part, 'UpdateNode', key, 'position:' || part FROM o""")
+def m25_edit_changes(t: Tables) -> DataFrame:
+    """Events as edits: views insert, clicks rename, errors delete, purchases reorder, and signups are a mutation that no edit knows."""
+    edit = F.expr("case event_type when 'view' then 'InsertAfter' when 'error' then 'DeleteNode' when 'purchase' then 'ReorderItems' when 'click' then 'MutateField' else 'Transmute' end")
+    key = F.expr("concat('k', user_id % 50)")
+    rows = t.events.select(F.col("event_id").alias("seq"), edit.alias("edit"), key.alias("key"), F.lit("RenameIdent").alias("mutation"), F.concat(F.lit("v"), "event_id").alias("value"), F.array(key, F.lit("k0")).alias("items"))
+    return V.edit_changes(rows)
 
 
 @query("""WITH RECURSIVE a AS (SELECT 'crate::m' || n_nationkey || '::x' AS src, 'crate::m' || (n_nationkey // 2) || '::x' AS dst FROM nation WHERE n_nationkey > 2),
@@ -232,12 +304,12 @@ def y2_scopes(t: Tables) -> DataFrame:
     return Y.innermost(uses, bindings)
 
 
-@query("""WITH f AS (SELECT c_custkey AS id, c_nationkey AS module, c_custkey % 400 AS name, c_custkey % 3 <> 0 AS public FROM customer), s AS (SELECT c_custkey AS caller, c_nationkey AS module, (c_custkey * 7) % 400 AS name FROM customer WHERE c_custkey < 400),
+@query("""WITH f AS (SELECT c_custkey AS id, c_nationkey AS module, c_custkey // 3 AS name, c_custkey % 3 <> 0 AS public FROM customer), s AS (SELECT c_custkey AS caller, c_nationkey AS module, c_custkey // 6 AS name FROM customer),
     o AS (SELECT name, min(id) AS far FROM f WHERE public GROUP BY 1 HAVING count(*) = 1)
     SELECT DISTINCT caller, coalesce(f.id, far) AS callee FROM s LEFT JOIN f ON f.module = s.module AND f.name = s.name AND f.public LEFT JOIN o ON o.name = s.name WHERE coalesce(f.id, far) IS NOT NULL AND coalesce(f.id, far) <> caller""")
 def y3_call_discovery(t: Tables) -> DataFrame:
-    f = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("module"), F.expr("c_custkey % 400").alias("name"), F.expr("c_custkey % 3 != 0").alias("public"))
-    sites = t.customer.where("c_custkey < 400").select(F.col("c_custkey").alias("caller"), F.col("c_nationkey").alias("module"), F.expr("(c_custkey * 7) % 400").alias("name"))
+    f = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("module"), F.expr("c_custkey div 3").alias("name"), F.expr("c_custkey % 3 != 0").alias("public"))
+    sites = t.customer.select(F.col("c_custkey").alias("caller"), F.col("c_nationkey").alias("module"), F.expr("c_custkey div 6").alias("name"))
     return Y.call_edges(sites, f)
 
 
@@ -256,12 +328,12 @@ def y5_y6_file_dependencies(t: Tables) -> DataFrame:
     return Y.file_dependencies(deps, modules)
 
 
-@query("""WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE n_chars < 1500),
+@query("""WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
     w AS (SELECT path, line, unnest(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*')) AS name, generate_subscripts(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*'), 1) AS nth FROM l)
     SELECT path, line::INT AS line, nth::INT AS nth, name FROM w WHERE name IN ('the', 'der', 'la')""")
 def y7_symbol_uses(t: Tables) -> DataFrame:
     names = t.spark.createDataFrame([("the",), ("der",), ("la",)], "name string")
-    return T.symbol_uses(t.documents.where("n_chars < 1500").select(F.col("doc_id").cast("string").alias("path"), "text"), names)
+    return T.symbol_uses(t.documents.select(F.col("doc_id").cast("string").alias("path"), "text"), names)
 
 
 @query("SELECT kind, a, b FROM (VALUES ('module', 'parse', NULL), ('module', 'lint', NULL), ('import', 'lint', 'parse'), ('goal', 'pipeline', NULL), ('step', 'parse', 'lint')) v(kind, a, b)")
@@ -321,10 +393,10 @@ def y13_dispatch(t: Tables) -> DataFrame:
     return Y.dispatchable(nodes, dag(t), nodes.where("id < 18").select("id"), F.lit(0.2)).select("id")
 
 
-@query("""WITH o AS (SELECT s_name AS symbol, CASE s_suppkey % 3 WHEN 0 THEN 'rename' WHEN 1 THEN 'delete' ELSE 'move' END AS op, s_suppkey AS k FROM supplier WHERE s_suppkey < 30)
+@query("""WITH o AS (SELECT s_name AS symbol, CASE s_suppkey % 3 WHEN 0 THEN 'rename' WHEN 1 THEN 'delete' ELSE 'move' END AS op, s_suppkey AS k FROM supplier)
     SELECT DISTINCT op, symbol, l_partkey % 10 AS file, CASE op WHEN 'rename' THEN 'replace use' WHEN 'delete' THEN 'remove use' ELSE 'repath use' END AS action FROM o JOIN lineitem ON l_suppkey = k""")
 def y15_edit_propagation(t: Tables) -> DataFrame:
-    ops = t.supplier.where("s_suppkey < 30").select(F.col("s_name").alias("symbol"), F.element_at(F.array(*map(F.lit, ("rename", "delete", "move"))), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("op"))
+    ops = t.supplier.select(F.col("s_name").alias("symbol"), F.element_at(F.array(*map(F.lit, ("rename", "delete", "move"))), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("op"))
     occurrences = t.lineitem.select("l_suppkey", (F.col("l_partkey") % 10).alias("file")).distinct().join(t.supplier.select("s_suppkey", F.col("s_name").alias("symbol")), F.col("l_suppkey") == F.col("s_suppkey")).select("symbol", "file")
     return Y.propagate_edits(ops, occurrences, occurrences.limit(0))
 

@@ -12,6 +12,7 @@ from graphloom.functions import scalar as X
 from graphloom.functions import text as T
 from graphloom.operators import analysis as A
 from graphloom.operators import graph as G
+from graphloom.operators import layout as LA
 from graphloom.operators import relational as R
 from graphloom.operators import resolution as Y
 from graphloom.operators import rules as RU
@@ -166,6 +167,64 @@ def test_alias_of_unknown(edges, spark):
     assert pairs(A.may_alias(edges([(0, 5), (1, 5)]), asked)) == [(0, 1, True), (0, 9, False)]
 
 
+def test_genetic(spark):
+    """By hand: [1, 5, 10, 7, 3] keeps 1 and 3; the generator's first picks are odd and even, so means of 1 and 3, 2, come in."""
+    lists = spark.createDataFrame([(1, [1, 5, 10, 7, 3]), (2, [9]), (3, None), (4, [4, 4, 8, 2])], "id int, x array<long>")
+    best = lambda generations, **how: {r.id: r.best for r in lists.select("id", X.genetic(F.col("x"), generations, **how).alias("best")).collect()}
+    assert best(0) == {1: 10, 2: 9, 3: None, 4: 8}
+    assert best(1) == {1: 3, 2: None, 3: None, 4: 4}
+    assert best(10)[1] == 1  # the lower half again and again
+    assert best(1, fitness=lambda x: -x) == {1: 7, 2: None, 3: None, 4: 4}
+
+
+def test_emission_order(spark):
+    kinds = ["MacroCall", "TypeRef", "Method", "Function", "Impl", "Impl", "Static", "Const", "TypeAlias", "Trait", "Enum", "Struct", "Use", "Module", "Crate"]
+    rows = [(i, k, "b" if k == "Enum" else "a", f"z{i}", "S", "T" if i == 4 else None) for i, k in enumerate(kinds)] + [(99, "Struct", "c", None, None, None), (98, "Function", "a", None, None, None)]
+    got = S.stable_order(spark.createDataFrame(rows, "id long, kind string, name string, path string, struct string, trait string"))
+    want = [14, 13, 12, 10, 11, 99, 9, 8, 7, 6, 5, 4, 3, 98, 2, 1, 0]
+    assert [r.id for r in got.orderBy("bucket", "pos").collect()] == want
+
+
+def test_noise_and_messages(spark):
+    assert [column(spark, R.is_noise_type(F.lit(x))) for x in ("my::String", "usize", "Vec<()>", "()", "Order")] == [True, True, False, True, False]
+    assert column(spark, R.is_noise_definition(F.lit("<A as std::ops::Add>::add"))) and not column(spark, R.is_noise_definition(F.lit("a::ops::add")))
+    rows = [("system", "text", ["", " ", None]), ("system", "text", []), ("system", "text", None), ("system", "text", ["x"]), ("system", "code", [""]), ("user", "text", [""]), ("user", "user_editable_context", ["x"]), ("assistant", "model_editable_context", ["x"]), (None, None, None)]
+    got = spark.createDataFrame(rows, "role string, kind string, parts array<string>").select(R.is_message(F.col("role"), F.col("kind"), F.col("parts")).alias("m")).collect()
+    assert [r.m for r in got] == [False, False, True, True, True, True, False, False, True]
+    assert column(spark, R.truncated(F.array(*map(F.lit, "abcd")), 3)) == ["a", "b", "c", "... (1 more items truncated)"]
+
+
+def test_reconnect(spark):
+    dead = spark.createDataFrame([(1, ["A", "B", "C"]), (2, ["Z"]), (3, [])], "id long, inputs array<string>")
+    live = spark.createDataFrame([(10, "long::module", ["A", "B"]), (11, "m", ["B", "C", "D"]), (12, "m", ["A", "B"])], "id long, module string, inputs array<string>")
+    assert pairs(R.reconnect(dead, live)) == [(1, 11, 0.5), (2, None, 0.0), (3, None, 0.0)]
+
+
+def test_defect_classes(spark):
+    v = lambda *rows: spark.createDataFrame(rows, "rule string, subject string, detail string")
+    edge = lambda *rows: spark.createDataFrame(rows, "`from` string, `to` string")
+    modules = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    functions = spark.createDataFrame([("f", "b", "b.standalone"), ("g", "a", "i")], "id string, module string, impl_id string")
+    impls = spark.createDataFrame([("i", ""), ("j", "t")], "id string, trait_id string")
+    t = {"modules": modules, "module_edges": edge(("a", "b")), "functions": functions, "impls": impls}
+
+    def cls(rule, subject, detail="", **other):
+        return tuple(RU.diagnose(v((rule, subject, detail)), t | other).select("class", "cycle").first())
+
+    assert cls("VersionEvolution", "") == ("ValidatorOverConstraint", None) and cls("DeltaProofs", "d") == ("WrongValue", None)
+    assert cls("ExecutionOnlyInImpl", "f") == ("MissingEmit", None) and cls("ExecutionOnlyInImpl", "g") == ("WrongValue", None)
+    assert cls("ImplBinding", "i", "trait_id: missing") == ("ValidatorOverConstraint", None) and cls("ImplBinding", "i", "module")[0] == cls("ImplBinding", "j", "trait_id: t")[0] == "WrongValue"
+    assert cls("ModuleDag", "f", module_edges=edge(("a", "b")).limit(0)) == ("MissingEmit", None)
+    assert cls("ModuleDag", "x", module_edges=edge(("b", "c"), ("c", "b"), ("a", "b"))) == ("CycleDetected", ["b", "c"])
+    assert cls("CallGraphRespectsDag", "f") == ("WrongDirection", None) and cls("CallGraphRespectsDag", "g") == ("MissingContext", None)
+
+
+@pytest.mark.parametrize(("ast", "n"), [(None, 0), ('{"kind": "closure", "body": [{"kind": "if_expr"}, {"kind": 3}]}', 0), ('{"kind": "literal", "x": {"kind" : "binary"}}', 2), ('{"kind": "lit", "value": "\\"kind\\": \\"x\\""}', 0)])
+def test_kinds_of_syntax_nodes(spark, ast, n):
+    rule = RU.KnownKinds("FunctionAst", "functions", "ast")
+    assert rule.check({"functions": spark.createDataFrame([("f", ast)], "id string, ast string")}).count() == n
+
+
 @pytest.mark.parametrize(("n", "label"), [(0, "A"), (25, "Z"), (26, "AA"), (27, "AB"), (701, "ZZ"), (702, "AAA")])
 def test_branch_label(spark, n, label):
     assert column(spark, R.branch_label(F.lit(n))) == label
@@ -176,7 +235,6 @@ def test_folds(spark):
     assert rows.agg(R.ema(F.col("o"), F.col("v"), 0.5).alias("e")).first().e == 1.0
     assert column(spark, X.best_subset_sum(F.array(F.lit(2), F.lit(3), F.lit(4)), 5)) == 5
     assert column(spark, R.subsets(F.array(F.lit(1), F.lit(2), F.lit(3)))) == [[], [3], [2], [2, 3], [1], [1, 3], [1, 2], [1, 2, 3]]
-    assert X.genetic([1, 5, 10, 7, 3], 10) == 1
     assert column(spark, X.fibonacci(F.lit(90))) == 2880067194370816120
     assert column(spark, X.gcd(F.lit(-48), F.lit(36))) == 12 and column(spark, X.gcd(F.lit(0), F.lit(0))) == 0
     assert pairs(X.primes(spark, 30)) == [(p,) for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)]
@@ -453,3 +511,83 @@ def test_engine(spark, edges, nodes):
     assert e.symbols("symbols", '{"name_contains": "run"}').count() == 1
     e.register("modules", spark.createDataFrame([(1,), (1,)], "id long"))
     assert [r.rule for r in e.validate(["modules"]).collect()] == ["ExplicitArtifacts"]
+
+
+def test_nearest_ancestors(spark):
+    keys = ["a", "a::b::c", "a::b::c::d", "ab::c", "x::y", "a::bb"]
+    got = R.nearest_ancestors(spark.createDataFrame([(k,) for k in [*keys, "a"]], "key string"))
+    assert pairs(got) == [("a::b::c", "a"), ("a::b::c::d", "a::b::c"), ("a::bb", "a")]
+
+
+def test_layouts(spark):
+    rows = [(1, "Struct", "My-Type", "M::A", None, None), (2, "Enum", "my_type", "M::A", None, None), (3, "Impl", None, "M::A", 1, None), (4, "Impl", None, "M::B", 1, None), (5, "Function", "run", "M::A", None, 3), (6, "Function", "go", "M::A", None, None), (7, "Module", "m", "M::A", None, None)]
+    nodes = spark.createDataFrame(rows, "id long, kind string, name string, module string, struct long, impl long")
+    of = lambda s, **how: {r.node: (r.file, r.path) for r in LA.layout(nodes, s, **how).collect()}
+    assert set(of("single_file").values()) == {("file.m__a.mod", "mod.rs"), ("file.m__b.mod", "mod.rs")}
+    own = ("file.m__a.my_type", "my_type.rs")
+    assert of("per_type") == {1: own, 2: own, 3: own, 4: ("file.m__b.mod", "mod.rs"), 5: own, 6: ("file.m__a.mod", "mod.rs")}
+    assert of("flat_nodes") == of("canonical_normalized") and of("flat_nodes")[1] == ("file.m__a.struct.my_type", "struct_my_type.rs") and of("flat_nodes")[5] == ("file.m__a.fn.run", "fn_run.rs") and of("flat_nodes")[3] == ("file.m__a.impl.3", "impl_3.rs")
+    assert pairs(LA.layout(nodes, "original", LA.layout(nodes, "per_type"))) == pairs(LA.layout(nodes, "per_type"))
+
+
+def test_snapshots_are_verified_and_compared(spark):
+    nodes = spark.createDataFrame([(i, "Module", f"n{i}") for i in range(4)], "id long, kind string, name string")
+    edge = lambda *rows: spark.createDataFrame(rows, "src long, dst long, kind string")
+    assert V.verify(nodes, edge((0, 1, "Contains"), (0, 2, "Contains"), (1, 2, "Calls"), (2, 1, "Calls"))).count() == 0
+    bad = V.verify(nodes.unionByName(nodes.where("id = 3")), edge((0, 1, "Contains"), (2, 1, "Contains"), (1, 2, "Contains"), (0, 9, "Calls"), (3, 3, "Expands"), (3, 3, "Expands")))
+    assert sorted({r.rule for r in bad.collect()}) == ["AcyclicContains", "AcyclicExpands", "Endpoint", "OneContainer", "UniqueEdge", "UniqueNode"]
+    diff = V.coarse_diff((nodes, edge((0, 1, "Calls"))), (nodes.withColumn("name", F.upper("name")), edge((0, 2, "Calls"), (0, 3, "CfgEdge"))))
+    assert {r.part for r in diff.where("changed").collect()} == {"nodes", "edge_hints", "cfg_graph"} and diff.count() == 10
+
+
+def test_rollouts(spark):
+    state = spark.createDataFrame([(3,)], "x long")
+    step = lambda df: df.withColumn("x", F.col("x") - 2)
+    found = V.rollout(state, step, F.sum("x"), 3, 10.0)
+    assert [tuple(r) for r in found.orderBy("depth").collect()] == [(1, 1.0, 1.9), (2, 0.0, 1.0), (3, -3.0, pytest.approx(-1.7))]
+    assert V.best_depth(found).first().depth == 1 and V.rollout(state, step, F.sum("x"), 0).count() == 0
+
+
+def test_postconditions(spark):
+    rows = spark.createDataFrame([(1, -2, None), (0, 5, None)], "a int, b int, c int")
+    assert pairs(R.postconditions(rows, {"f": ["a", "b"], "g": ["c"]})) == [("f", "non_negative(a)", True, None), ("f", "non_negative(b)", False, -2.0), ("g", "non_negative(c)", True, None)]
+
+
+def test_structured_edits(spark):
+    rows = [(1, "ReplaceNode", "k", None, "fn f() {}", None), (2, "InsertAfter", "n", None, "k", None), (3, "DeleteNode", "d", None, None, None), (4, "MutateField", "k", "RenameIdent", "g", None), (5, "MutateField", "k", "Invent", "g", None), (6, "ReorderItems", None, None, None, ["b", "a"]), (7, "MoveSymbol", "k", None, "crate::m", None)]
+    got = V.edit_changes(spark.createDataFrame(rows, "seq long, edit string, key string, mutation string, value string, items array<string>")).orderBy("seq", "part").collect()
+    assert [(r.op, r.key, r.payload) for r in got] == [("UpdateNode", "k", "fn f() {}"), ("AddNode", "n", "InsertAfter:k"), ("RemoveNode", "d", None), ("UpdateNode", "k", "RenameIdent:g"), (None, "k", "Invent:g"), ("UpdateNode", "b", "position:0"), ("UpdateNode", "a", "position:1"), ("UpdateNode", "k", "module:crate::m")]
+
+
+def test_framed_logs_are_read_by_stretches(spark, tmp_path):
+    payloads = [bytes([i % 256]) * (i % 37) for i in range(500)]
+    rows = spark.createDataFrame([(p,) for p in payloads], "payload binary").repartition(2)
+    for header in (False, True):
+        folder = str(tmp_path / str(header))
+        assert framed.write_frames(rows, folder, header).agg(F.sum("records")).first()[0] == 500
+        index = framed.index_frames(spark, folder, header, stretch=300)
+        assert index.count() > 10 and framed.count_frames(spark, folder, header) == 500
+        got = framed.read_frames(spark, folder, header, stretch=300)
+        assert sorted(bytes(r.payload) for r in got.collect()) == sorted(payloads) and got.where("not ok").isEmpty()
+        assert got.select("path", "seq").distinct().count() == 500 and got.agg(F.max("seq")).first()[0] < 500
+    with pytest.raises(Exception, match="no log of version"):
+        framed.read_frames(spark, str(tmp_path / "False"), header=True).count()
+
+
+def test_locks_of_a_thread_with_most_rows(spark):
+    import random
+
+    rng, rows, held, want = random.Random(4), [], {}, {}
+    for seq in range(0, 3000, 3):
+        thread, action = rng.choice("aaab"), rng.choice(["acquire", "release", "access", "access"])
+        target = rng.choice("xyz") if action != "access" else "o"
+        rows.append((seq, thread, action, target))
+        own = held.setdefault(thread, set())
+        if action == "access":
+            want[seq] = sorted(own)
+        else:
+            (own.add if action == "acquire" else own.discard)(target)
+    trace = spark.createDataFrame(rows, "seq long, thread string, action string, target string")
+    for stretch in (1, 64, 10_000):
+        assert {r.seq: r.held for r in A.held_locks(trace, stretch).collect()} == want
+    assert A.held_locks(trace.limit(0)).count() == 0
