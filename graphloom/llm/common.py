@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.store import drop_table, materialize, shared_dir  # noqa: F401
+from graphloom.store import drop_table, materialize, own_dir, scratch  # noqa: F401
 
 #: Separators of words: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -17,7 +17,7 @@ from graphloom.llm.tokens import END, encoder
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Documents of a block, within which they are ranked.
-RANKED = 20_000
+RANKED = 2_000
 
 #: Slack in a window that is padded rather than filled with the head of a cut piece.
 TOLERANCE = 15
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     """
     rows = materialize(token_pieces(docs, doc_id, text, capacity, vocabulary), "tokens")
     blocks = rows.count() // RANKED + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("full", F.size("full_crc"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "rest_crc"), F.lit(blocks)).cast("int")).withColumn("full", F.size("full_crc"))
     counts, base, fulls = np.zeros(capacity, np.int64), {}, 0
     sizes = rows.groupBy("rest").agg(F.count("*"), F.sum("full")).collect()  # at most `capacity` rows
     for length, n, f in sorted(sizes):

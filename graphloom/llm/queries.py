@@ -33,8 +33,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the mix's languages; sources and topics have the roots of their shares.
+TARGETS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), targets=TARGETS)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +87,7 @@ def _url_sql() -> str:
 
 
 ORACLE_SQL = {
-    "op6_mixing": mixing.mix_sql(),
+    "op6_mixing": mixing.mix_sql(targets=TARGETS),
     "op7_url_filter": _url_sql(),
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

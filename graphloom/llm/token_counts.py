@@ -2,112 +2,121 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import materialize, whole_text
+from graphloom.llm.common import materialize, own_dir, whole_text
 from graphloom.llm.tokens import encoder
+from graphloom.sources.files import list_files
 
-#: The vocabulary's own end of a text, which no text encodes to; ids fit into two bytes.
-SEPARATOR, DTYPE = 50256, "<u2"
-#: Tokens of a block.
-BLOCK = 1 << 18
+#: The vocabulary's own end of a text, which no text encodes to.
+SEPARATOR = 50256
+#: Bytes of a block, which one read takes in.
+BLOCK = 1 << 20
 
-#: part: "tokens" for a block of a flat file, "ids" for a piece of the list of documents that a file holds, in order.
-_FILES = "file long, part string, block long, data binary"
+#: part: "file" for a flat file of `size` bytes, `width` a token, "ids" for a piece of the list of documents that it holds, in order.
+_LISTING = "file long, part string, path string, size long, width int, first long, ids array<long>"
 
 
-def flatten(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, vocabulary: str | None = None) -> DataFrame:
-    """Flat token files, one for each partition of docs: each text's ids and a separator, cut into blocks anywhere.
+def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
+    """Write flat files, one for each partition of docs, of each text's ids and a separator; return what lists them.
 
-    A list of the documents in each file goes beside it, as a corpus builder keeps it. Null texts are empty.
+    Files are bare little-endian ids of two bytes, or of four where the vocabulary has more than those count. The list
+    of documents goes beside, as a corpus builder keeps it. Null texts are empty. A task that runs again writes another
+    file; files that the listing does not name are none. The folder is one that pyarrow's file systems reach from all
+    executors, as the shared folder is.
     """
-    size = block * np.dtype(DTYPE).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(vocabulary), np.array([SEPARATOR], DTYPE).tobytes()
-        file, stream, done, listed = TaskContext.get().partitionId(), bytearray(), 0, 0
-
-        def rows(part: str, first: int, data: list[bytes]) -> pa.RecordBatch:
-            cols = [pa.array([file] * len(data), pa.int64()), pa.array([part] * len(data)), pa.array(range(first, first + len(data)), pa.int64()), pa.array(data, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["file", "part", "block", "data"])
-
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                for ids in code.encode(b.column(1).to_pylist()):
-                    stream += np.frombuffer(ids, np.uint32).astype(DTYPE).tobytes() + end
-                full = len(stream) // size
-                if full:
-                    yield rows("tokens", done, [bytes(stream[j * size : (j + 1) * size]) for j in range(full)])
-                    del stream[: full * size]
-                    done += full
-                yield rows("ids", listed, [b.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()])
-                listed += 1
-        if stream:
-            yield rows("tokens", done, [bytes(stream)])
-
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, _FILES)
-
-
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Flat files of two-byte ids as blocks, numbered by path. A file is read by one task, up to 2 GB."""
-    size = block * np.dtype(DTYPE).itemsize
-    files = spark.read.format("binaryFile").load(path)
-    parts = F.expr(f"transform(sequence(0, greatest(0, cast((length(content) - 1) div {size} as int))), i -> struct(i as block, substring(content, i * {size} + 1, {size}) as data))")
-    return files.select(F.xxhash64("path").alias("file"), F.lit("tokens").alias("part"), F.explode(parts).alias("b")).select("file", "part", F.col("b.block").cast("long").alias("block"), "b.data")
-
-
-def separators(files: DataFrame, separator: int = SEPARATOR) -> DataFrame:
-    """For each block its length and the places of separators in it; lists of documents pass as they are."""
+        code, file, listed = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        width = 2 if max(code.tokenizer.get_vocab_size(), separator + 1) <= 1 << 16 else 4
+        end = separator.to_bytes(width, "little")
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        name = f"tokens-{file:06d}-{uuid.uuid4().hex}.bin"
+
+        def row(part: str, size: int | None, first: int | None, ids: pa.Array | None) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if ids is not None else pa.array([None], pa.list_(pa.int64()))
+            cols = [pa.array([file]), pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([width], pa.int32()), pa.array([first], pa.int64()), lists]
+            return pa.RecordBatch.from_arrays(cols, ["file", "part", "path", "size", "width", "first", "ids"])
+
+        with system.open_output_stream(f"{path}/{name}") as out:
+            for whole in batches:
+                for k in range(0, whole.num_rows, 512):
+                    b = whole.slice(k, 512)
+                    for ids in code.encode(b.column(1).to_pylist()):
+                        out.write(np.frombuffer(ids, np.uint32).astype(f"<u{width}").tobytes() + end)
+                    yield row("ids", None, listed, b.column(0).cast(pa.int64()))
+                    listed += b.num_rows
+            size = out.tell()
+        yield row("file", size, None, None)
+
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, _LISTING)
+
+
+def list_token_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """The flat files that a path or glob names, as `separators` takes them, numbered in the order of their paths."""
+    rows = [(i, p, size, width) for i, (p, size) in enumerate(list_files(spark, path))]
+    return spark.createDataFrame(rows, "file long, path string, size long, width int")
+
+
+def separators(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
+    """(file, block, n, places): for each block of flat files (file, path, size, width) its tokens and the separators' places.
+
+    Blocks of a file are read by whichever tasks, each from its own offset on, so a file's size does not matter. The ids of a
+    block are compared with the separator all at once.
+    """
+    step = block // 4 * 4
+    cut = files.where("size > 0").select("file", "path", "size", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step}"))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths, places, ids = [], [], []
-            for part, data in zip(b.column(1).to_pylist(), b.column(3), strict=True):
-                if part == "tokens":
-                    tokens = np.frombuffer(data.as_buffer(), DTYPE)
-                    lengths.append(len(tokens)), places.append(np.flatnonzero(tokens == separator).astype(np.int32)), ids.append(None)
-                else:
-                    lengths.append(None), places.append(None), ids.append(np.frombuffer(data.as_buffer(), "<i8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lengths, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int64()))], ["file", "part", "block", "n", "places", "ids"])
+            for file, path, size, width, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                system, inside = fs.FileSystem.from_uri(path)
+                with system.open_input_file(inside) as f:
+                    f.seek(k * step)
+                    tokens = np.frombuffer(f.read(min(step, size // width * width - k * step)), f"<u{width}")
+                places = np.flatnonzero(tokens == separator)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k]), pa.array([len(tokens)]), pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(places, pa.int64()))], ["file", "block", "n", "places"])
 
-    return files.mapInArrow(run, "file long, part string, block long, n long, places array<int>, ids array<long>")
+    return cut.repartition("file", "block").mapInArrow(run, "file long, block long, n long, places array<long>")
 
 
 def document_spans(found: DataFrame) -> DataFrame:
     """(file, ordinal, start, n_tokens, ended) of each document, from `separators`.
 
-    A prefix scan over a file's blocks gives each block its start, the separators before it and the last of them, which is
-    where a document that began in an earlier block starts. Tokens behind a file's last separator are a
+    A prefix scan over a file's blocks, a few numbers each, gives each block its start, the separators before it and the last
+    of them, which is where a document that began in an earlier block starts. Tokens behind a file's last separator are a
     document that has not ended. Separators do not count.
     """
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = found.where("part = 'tokens'").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    blocks = blocks.withColumn("seps", F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)))
-    blocks = blocks.withColumn("last", F.expr("if(size(places) > 0, start + places[size(places) - 1], null)"))
-    blocks = blocks.withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
-    ends = blocks.select("file", "start", "seps", "open", "places", F.posexplode("places").alias("j", "place"))
+    heads = found.select("file", "block", "n", F.size("places").alias("found"), F.expr("if(size(places) > 0, places[size(places) - 1], null)").alias("last"))
+    heads = heads.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("seps", F.coalesce(F.sum("found").over(before), F.lit(0)))
+    heads = heads.withColumn("last", F.col("start") + F.col("last")).withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
+    heads = materialize(heads, "heads")
+    ends = found.select("file", "block", "places").join(heads.select("file", "block", "start", "seps", "open"), ["file", "block"]).select("file", "start", "seps", "open", "places", F.posexplode("places").alias("j", "place"))
     first = F.expr("if(j = 0, open, start + places[j - 1] + 1)")
     spans = ends.select("file", (F.col("seps") + F.col("j")).alias("ordinal"), first.alias("start"), (F.col("start") + F.col("place") - first).alias("n_tokens"), F.lit(True).alias("ended"))
-    whole = blocks.groupBy("file").agg(F.sum("n").alias("n"), F.sum(F.size("places")).alias("ordinal"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"))
+    whole = heads.groupBy("file").agg(F.sum("n").alias("n"), F.sum("found").alias("ordinal"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"))
     return spans.unionByName(whole.where("n > start").select("file", "ordinal", "start", (F.col("n") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended")))
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, vocabulary: str | None = None) -> DataFrame:
-    """Return doc_id, n_tokens, file, ordinal, start of each document in the flat files made from docs.
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, vocabulary: str | None = None, separator: int = SEPARATOR) -> DataFrame:
+    """Return doc_id, n_tokens, file, ordinal, start of each document in flat files that are written from docs and scanned.
 
     One row per input row, but for rows without an id, which no list can name; repeated rows have a row each; null
     texts count no tokens; other columns are ignored; an empty table gives an empty result.
     """
-    found = materialize(separators(flatten(docs, doc_id, text, block, vocabulary)), "separators")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    listed = found.where("part = 'ids'").withColumn("first", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)))
-    listed = listed.select("file", "first", F.posexplode("ids").alias("j", "doc_id")).select("file", (F.col("first") + F.col("j")).alias("ordinal"), "doc_id")
+    folder = f"{own_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    listing = materialize(write_token_files(docs, folder, doc_id, text, vocabulary, separator), "listing")
+    found = materialize(separators(listing.where("part = 'file'"), separator, block), "separators")
+    listed = listing.where("part = 'ids'").select("file", "first", F.posexplode("ids").alias("j", "doc_id")).select("file", (F.col("first") + F.col("j")).alias("ordinal"), "doc_id")
     return document_spans(found).join(listed, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
