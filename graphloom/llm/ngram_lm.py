@@ -20,6 +20,7 @@ part of the automaton that its texts can reach.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, text_bytes
+from graphloom.llm.common import materialize, own_dir, text_bytes
 
-#: Bytes of text in a block.
-BLOCK = 8 << 20
+#: Bytes of text in a block, and buckets that blocks are dealt into at most.
+BLOCK, BUCKETS = 8 << 20, 20_000
 #: Weights of the prior in states of one word and of two. Held-out log10 probabilities of a token are in the README.
 PRIOR = (100.0, 100.0)
 #: Documents with this remainder of crc32(doc_id) modulo 7 are held out.
@@ -92,6 +93,18 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, _BLOCKS)
 
 
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Blocks as a table of buckets in the shared folder, so that answers are brought to blocks and blocks stay where they are.
+
+    The catalog only serves to name the buckets; the table leaves it at once, and its files stay.
+    """
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(buckets, "block").option("path", f"{own_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 class _Block:
     """The n-grams of a block: numbers of the word, bigram and trigram that end at each place, and each one's key.
 
@@ -167,7 +180,8 @@ def _asked(blocks: DataFrame, owners: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 block = _Block(row)
                 out = {}
                 for (kind, bits), keys, counts in zip(_KINDS, (block.keys, block.grams), block.counts(), strict=True):
@@ -183,22 +197,26 @@ def _asked(blocks: DataFrame, owners: int) -> DataFrame:
     return blocks.mapInArrow(run, "owner int, block long, n_words int, words binary, word_counts binary, n_grams int, grams binary, gram_counts binary")
 
 
-def _summed(n: list[int], keys: list[bytes | None], counts: list[bytes | None]) -> list[bytes | None]:
-    """Each row's counts summed over all rows."""
+def _summed(n: list[int], keys: list[bytes | None], counts: list[bytes | None]) -> tuple[list[bytes | None], np.ndarray]:
+    """Each row's counts summed over all rows, and the sums of distinct keys."""
     has = [i for i, k in enumerate(keys) if k is not None]
     out: list[bytes | None] = [None] * len(keys)
+    sums = np.zeros(0)
     if has:
         distinct, at = np.unique(np.concatenate([_undelta(keys[i], n[i]) for i in has]), return_inverse=True)
         sums = np.bincount(at, np.concatenate([_unpacked(counts[i]) for i in has]), len(distinct))
         for i, x in zip(has, np.split(at, np.cumsum([n[i] for i in has])[:-1]), strict=True):
             out[i] = _packed(sums[x])
-    return out
+    return out, sums
 
 
 def _answer(table: pa.Table) -> pa.Table:
+    """An owner's answers to all blocks; the first row has the training tokens, and the distinct ones, that it owns."""
     got = table.to_pydict()
-    sums = [_summed(got[f"n_{k}s"], got[f"{k}s"], got[f"{k}_counts"]) for k in ("word", "gram")]
-    return pa.table([table["block"], table["owner"], *(pa.array(s, pa.binary()) for s in sums)], ["block", "owner", "words", "grams"])
+    (words, sums), (grams, _) = (_summed(got[f"n_{k}s"], got[f"{k}s"], got[f"{k}_counts"]) for k in ("word", "gram"))
+    rest = [0] * (len(words) - 1)
+    cols = [table["block"], table["owner"], pa.array(words, pa.binary()), pa.array(grams, pa.binary()), pa.array([int(sums.sum()), *rest], pa.int64()), pa.array([int((sums > 0).sum()), *rest], pa.int64())]
+    return pa.table(cols, ["block", "owner", "words", "grams", "tokens", "types"])
 
 
 class Automaton:
@@ -231,23 +249,21 @@ class Automaton:
 
     def scores(self) -> list[float]:
         """The sum of weights along each text, read from left to right."""
-        root, one, two = (a.tolist() for a in self.arcs)
-        to, kind, failure, back = (a.tolist() for a in (self.to, self.kind, self.failure, self.back))
-        out = []
+        root, one, two = (memoryview(np.ascontiguousarray(a)) for a in self.arcs)
+        to, failure, back = (memoryview(np.ascontiguousarray(a)) for a in (self.to, self.failure, self.back))
+        kind, out = self.kind.astype(np.uint8).tobytes(), []
         for a, z in zip(self.block.starts.tolist(), self.block.ends.tolist(), strict=True):
             state, total = 1 + START, 0.0
             for i in range(a, z):
-                k = kind[state]
-                if k == 2:
+                if kind[state] == 2:
                     arc = two[i]
-                    if arc == arc:
+                    if arc == arc:  # an arc that is not there is no number
                         total += arc
                         state = to[i]
                         continue
                     total += failure[state]
                     state = back[state]
-                    k = 1
-                if k == 1:
+                if kind[state] == 1:
                     arc = one[i]
                     if arc == arc:
                         total += arc
@@ -276,22 +292,6 @@ def _score(row: dict, answers: list[dict], owners: int, tokens: int, types: int,
     return pa.table(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _totals(blocks: DataFrame) -> tuple[int, int]:
-    """Training tokens, and distinct ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                keys, lengths = np.frombuffer(row["words"], np.uint64), np.array(row["lengths"], np.int64)
-                tokens = np.frombuffer(zlib.decompress(row["tokens"]), np.uint16 if len(keys) <= 1 << 16 else np.uint32)
-                n = np.bincount(tokens[np.repeat(~np.array(row["held"], bool), lengths)], minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[n > 0].view(np.int64)), pa.array(n[n > 0])], ["key", "n"])
-
-    sums = blocks.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    tokens, types = sums.agg(F.sum("n"), F.count("*")).first()
-    return tokens or 0, types
-
-
 def ngram_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: tuple[float, float] = PRIOR, block_bytes: int = BLOCK) -> DataFrame:
     """Return doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -301,10 +301,13 @@ def ngram_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pr
     """
     key = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.crc32(key.cast("binary")) % FOLDS == HELD_OUT).alias("held"), text_bytes(text).alias("text"))
-    blocks = materialize(_blocks(rows, block_bytes), "blocks")
-    owners = max(1, blocks.count())
-    tokens, types = _totals(blocks)
-    answers = _asked(blocks, owners).groupBy("owner").applyInArrow(_answer, "block long, owner int, words binary, grams binary")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
+    owners = size // block_bytes + 1
+    blocks = _bucketed(_blocks(rows, block_bytes), min(owners, BUCKETS))
+    answered = _asked(blocks, owners).groupBy("owner").applyInArrow(_answer, "block long, owner int, words binary, grams binary, tokens long, types long")
+    answers = materialize(answered, "answers")
+    tokens, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
+    answers = answers.drop("tokens", "types")
 
     def score(block: pa.Table, got: pa.Table) -> pa.Table:
         return _score(block.to_pylist()[0], got.to_pylist(), owners, tokens, types, prior)
