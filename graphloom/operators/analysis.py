@@ -147,10 +147,13 @@ def guarded_removals(edges: DataFrame, candidates: DataFrame, limit: float = 0.5
     """(src, dst, taken) for candidate removals in the order of (src, dst) (OP-G34).
 
     A removal is taken if the sum of ln(out-degree) moves by `limit` at most and neither end is left alone. Each is judged
-    after those before, a fold over the candidates, which are a plan; only degrees of their ends are gathered.
+    after those before, a fold over the candidates, which are a plan; only degrees of their ends are gathered. A plan of over
+    `graph.PLAN` candidates is an error.
     """
     spark = edges.sparkSession
-    asked = candidates.select("src", "dst").distinct()
+    asked = materialize(candidates.select("src", "dst").distinct(), "asked")
+    if (rows := asked.count()) > G.PLAN:
+        raise ValueError(f"{rows} candidates; a fold takes {G.PLAN}")
     ends = asked.select(F.col("src").alias("id")).union(asked.select("dst")).distinct()
     of = {r["id"]: [r["out_degree"], r["in_degree"]] for r in G.degrees(ends, edges).toLocalIterator()}
     enough = G.nodes_of(edges).limit(least_nodes).count() >= least_nodes

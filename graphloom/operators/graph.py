@@ -275,12 +275,15 @@ def witness_cycle(edges: DataFrame, components: DataFrame) -> DataFrame:
     return back.groupBy("component").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b")).select("component", F.col("b.path").alias("path"))
 
 
-def reexport_chains(uses: DataFrame, max_hops: int = 16) -> DataFrame:
-    """(src, path) of all ways along re-exports without a repeat that end where no re-export goes on (OP-G30)."""
+def reexport_chains(uses: DataFrame) -> DataFrame:
+    """(src, path) of all ways along re-exports without a repeat that end where no re-export goes on (OP-G30).
+
+    A round for each hop of the longest way; no way is left open, as none repeats a node.
+    """
     edges = materialize(uses.select("src", "dst").distinct(), "uses")
     live = materialize(edges.select("src", F.array("src", "dst").alias("path")), "paths")
     done = []
-    for _ in range(max_hops):
+    while True:
         ext = live.join(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")), F.element_at("path", -1) == F.col("at"), "left").withColumn("stop", F.col("next").isNull() | F.array_contains("path", F.col("next")))
         ext = materialize(ext, "paths")
         done.append(ext.where("stop").select("src", "path").distinct())
@@ -293,14 +296,21 @@ def reexport_chains(uses: DataFrame, max_hops: int = 16) -> DataFrame:
     return out.distinct()
 
 
+#: Rows of a plan that a fold over it takes to the driver at most.
+PLAN = 1_000_000
+
+
 def batches(order: DataFrame, edges: DataFrame, shared: bool = False) -> DataFrame:
     """(id, batch): independent batches of an order (pos, id) with dependencies (src before dst) (OP-G25).
 
     By default, a batch is a level. If shared, nodes that share a dependency do not share a batch either: a batch ends at a
-    node that is, or depends on, what the batch has or depends on. That is a fold over the order, for plans, not data.
+    node that is, or depends on, what the batch has or depends on. That is a fold over the order, for plans, not data:
+    a plan of over PLAN nodes or dependencies is an error.
     """
     if not shared:
         return peel(order.select("id"), edges).select("id", F.col("level").alias("batch"))
+    if (rows := max(order.count(), edges.count())) > PLAN:
+        raise ValueError(f"a plan of {rows} rows; a fold takes {PLAN}")
     deps: dict = {}
     for src, dst in edges.select("src", "dst").toLocalIterator():
         deps.setdefault(dst, set()).add(src)

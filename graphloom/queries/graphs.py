@@ -169,12 +169,22 @@ def g21_closure_permission(t: Tables) -> DataFrame:
     return asked.join(G.closure(flow(t)).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLOW}, {NATIONS}, {SCC}, several AS (SELECT component FROM comp GROUP BY 1 HAVING count(*) > 1),
+    walk AS (SELECT component, dst AS id, 1 AS n FROM several JOIN flow ON src = component UNION SELECT w.component, f.dst, n + 1 FROM walk w JOIN flow f ON f.src = w.id WHERE n < 25)
+    SELECT component, min(n)::INT AS length, true AS holds FROM walk WHERE id = component GROUP BY 1""")
 def g22_witness_cycle(t: Tables) -> DataFrame:
-    return G.witness_cycle(flow(t), G.scc(nations(t), flow(t)))
-
-
-@query()
+    """The length of each component's cycle, and whether it begins and ends at its least node and goes along edges."""
+    edges = flow(t)
+    cycles = G.witness_cycle(edges, G.scc(nations(t), edges)).select("component", "path", (F.size("path") - 1).alias("length"))
+    steps = cycles.select("component", F.explode(F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))).alias("s")).select("component", "s.*")
+    broken = steps.join(edges, ["src", "dst"], "left_anti").select("component").distinct().withColumn("broken", F.lit(True))
+    ends = (F.element_at("path", 1) == F.col("component")) & (F.element_at("path", -1) == F.col("component"))
+    return cycles.join(broken, "component", "left").select("component", "length", (ends & F.col("broken").isNull()).alias("holds"))
+
+
+@query(f"""WITH RECURSIVE {DAG}, {NATIONS}, total AS (SELECT dst, sum(weight) AS w FROM dag GROUP BY 1),
+    walk AS (SELECT id, 1.0::DOUBLE AS part FROM nodes WHERE id NOT IN (SELECT dst FROM dag) UNION ALL SELECT dag.dst, part * weight / w FROM walk JOIN dag ON src = id JOIN total ON total.dst = dag.dst)
+    SELECT id, round(sum(part), 9) AS score FROM walk GROUP BY 1""")
 def g23_trust(t: Tables) -> DataFrame:
     return G.trust(nations(t), dag(t)).select("id", F.round("score", 9).alias("score"))
 
@@ -190,7 +200,9 @@ def g25_batches(t: Tables) -> DataFrame:
     return G.batches(nations(t), dag(t))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DAG}, {NATIONS}, own AS (SELECT id, list_append(coalesce((SELECT list(src) FROM dag WHERE dst = id), []), id) AS own FROM nodes),
+    fold AS (SELECT id, own AS taken, 0 AS batch FROM own WHERE id = 0 UNION ALL SELECT o.id, CASE WHEN list_has_any(taken, o.own) THEN o.own ELSE list_concat(taken, o.own) END, batch + CASE WHEN list_has_any(taken, o.own) THEN 1 ELSE 0 END FROM fold f JOIN own o ON o.id = f.id + 1)
+    SELECT id, batch FROM fold""")
 def g25_shared_batches(t: Tables) -> DataFrame:
     return G.batches(nations(t).withColumn("pos", F.col("id")), dag(t), shared=True)
 
@@ -226,7 +238,9 @@ def g29_alias_chains(t: Tables) -> DataFrame:
     return G.chase(pointers, t.part.select(F.col("p_partkey").alias("id")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DAG}, u AS (SELECT src, dst FROM dag WHERE src % 4 = 0),
+    walk AS (SELECT src AS first, [src, dst] AS path FROM u UNION ALL SELECT first, list_append(path, u.dst) FROM walk JOIN u ON u.src = path[-1] WHERE NOT list_contains(path, u.dst))
+    SELECT DISTINCT first AS src, array_to_string(path, '>') AS path FROM walk WHERE path[-1] NOT IN (SELECT src FROM u) OR EXISTS (FROM u WHERE u.src = path[-1] AND list_contains(path, u.dst))""")
 def g30_reexport_chains(t: Tables) -> DataFrame:
     return G.reexport_chains(dag(t).where("src % 4 = 0")).select("src", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
@@ -255,7 +269,12 @@ def g33_dead_items(t: Tables) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLOW}, {NATIONS}, c AS (SELECT row_number() OVER (ORDER BY src, dst) AS i, src, dst FROM flow WHERE (src + dst) % 5 = 0),
+    d AS (SELECT list((SELECT count(*) FROM flow WHERE src = id) ORDER BY id) AS o, list((SELECT count(*) FROM flow WHERE dst = id) ORDER BY id) AS n FROM nodes),
+    fold AS (SELECT 0::BIGINT AS i, o, n, NULL::BIGINT AS src, NULL::BIGINT AS dst, false AS taken FROM d UNION ALL
+        SELECT i, CASE WHEN ok THEN list_transform(o, lambda x, j: CASE WHEN j = src + 1 THEN x - 1 ELSE x END) ELSE o END, CASE WHEN ok THEN list_transform(n, lambda x, j: CASE WHEN j = dst + 1 THEN x - 1 ELSE x END) ELSE n END, src, dst, ok
+        FROM (SELECT c.i, o, n, c.src, c.dst, CASE WHEN o[c.src + 1] > 0 THEN ln(o[c.src + 1]) - ln(greatest(o[c.src + 1] - 1, 1)) ELSE 0 END <= 0.5 AND o[c.src + 1] + n[c.src + 1] > 1 AND o[c.dst + 1] + n[c.dst + 1] > 1 AS ok FROM fold JOIN c ON c.i = fold.i + 1))
+    SELECT src, dst, taken FROM fold WHERE i > 0""")
 def g34_guarded_mutations(t: Tables) -> DataFrame:
     """Candidate edge removals in order; each is taken if the entropy of out-degrees moves by 0.5 at most, three nodes stay
     and none is left without an edge. A removal is judged against the graph that the ones before left."""
