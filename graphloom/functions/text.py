@@ -231,3 +231,34 @@ def proposal(df: DataFrame, text: str = "text") -> DataFrame:
 def replace_word(text: Column, old: str, new: str) -> Column:
     """One identifier renamed where it stands alone (OP-M26)."""
     return F.regexp_replace(text, rf"\b{old}\b", new)
+
+
+def rendered(kind: Column, name: Column, visibility: Column, type_: Column, value: Column, parts: Column) -> Column:
+    """Source text of an item by its kind (OP-M27): constants and statics with type and value, aliases with their type, uses with an
+    alias for a value, modules as declarations, structs and enums with their parts, functions by their signature and body.
+
+    visibility: `pub ` or nothing; parts: lines of a body, a field or variant each. Kinds of another name give null.
+    """
+    head = lambda word: F.concat(visibility, F.lit(f"{word} "), name)
+    block = lambda end: F.concat(F.lit(" {\n"), F.array_join(F.transform(parts, lambda x: F.concat(F.lit("    "), x, F.lit(end))), "\n"), F.when(F.size(parts) > 0, "\n").otherwise(""), F.lit("}"))
+    typed = F.concat(F.lit(": "), type_, F.lit(" = "), value, F.lit(";"))
+    alias = F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(" as "), value))
+    return (
+        F.when(kind == "Const", F.concat(head("const"), typed))
+        .when(kind == "Static", F.concat(head("static"), typed))
+        .when(kind == "TypeAlias", F.concat(head("type"), F.lit(" = "), type_, F.lit(";")))
+        .when(kind == "Use", F.concat(F.lit("use "), name, alias, F.lit(";")))
+        .when(kind == "Module", F.concat(F.lit("pub mod "), name, F.lit(";")))
+        .when(kind == "Struct", F.concat(head("struct"), block(",")))
+        .when(kind == "Enum", F.concat(head("enum"), block(",")))
+        .when(kind == "Function", F.concat(head("fn"), type_, F.when(parts.isNull(), F.lit(";")).otherwise(block(""))))
+    )
+
+
+def repo_map(symbols: DataFrame) -> DataFrame:
+    """(path, text, tokens) of `source_symbols`: a file's items in the order of their lines under its path, and a token for each
+    four bytes (OP-M28)."""
+    line = F.concat(F.lit("  "), F.when(F.col("public"), "pub ").otherwise(""), "kind", F.lit(" "), "name")
+    files = symbols.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", line.alias("t")))).alias("l"))  # a file's items
+    text = F.concat("path", F.lit(":\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\n"))
+    return files.select("path", text.alias("text"), F.floor(F.octet_length(text) / 4).alias("tokens"))

@@ -279,8 +279,9 @@ def removed_rows(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Dat
 
 
 def subsets(items: Column, most: int = 20) -> Column:
-    """All subsets of a list of up to `most` items, without its first item first (OP-U8)."""
+    """All subsets of a list, without its first item first (OP-U8); a list of over `most` items, a million subsets, is an error."""
     n = F.size(items)
     bit = lambda m, i: F.floor(m / F.pow(F.lit(2.0), n - 1 - i)).cast("long") % 2
-    masks = F.when(n <= most, F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2.0), n) - 1).cast("long")))
+    masks = F.when(n > most, F.raise_error(F.concat(F.lit("a list of "), n.cast("string"), F.lit(" items has too many subsets"))).cast("array<long>"))
+    masks = masks.otherwise(F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2.0), n) - 1).cast("long")))
     return F.transform(masks, lambda m: F.filter(items, lambda x, i: bit(m, i) == 1))

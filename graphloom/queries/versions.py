@@ -242,6 +242,21 @@ def m28_source_symbols(t: Tables) -> DataFrame:
     return T.source_symbols(_sources(t))
 
 
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN 'pub const S' || s_suppkey || ': u64 = ' || s_nationkey || ';' WHEN 1 THEN 'pub static S' || s_suppkey || ': u64 = ' || s_nationkey || ';' WHEN 2 THEN 'pub type S' || s_suppkey || ' = u64;'
+    WHEN 3 THEN 'use S' || s_suppkey || ' as ' || s_nationkey || ';' WHEN 4 THEN 'pub mod S' || s_suppkey || ';' WHEN 5 THEN 'pub struct S' || s_suppkey || ' {' || chr(10) || '    a,' || chr(10) || '    b,' || chr(10) || '}' WHEN 6 THEN 'pub enum S' || s_suppkey || ' {' || chr(10) || '    a,' || chr(10) || '    b,' || chr(10) || '}'
+    ELSE 'pub fn S' || s_suppkey || 'u64 {' || chr(10) || '    a' || chr(10) || '    b' || chr(10) || '}' END AS text FROM supplier""")
+def m27_rendered(t: Tables) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("Const", "Static", "TypeAlias", "Use", "Module", "Struct", "Enum", "Function")))
+    kind = F.get(kinds, (F.col("s_suppkey") % 8).cast("int"))
+    text = T.rendered(kind, F.concat(F.lit("S"), "s_suppkey"), F.lit("pub "), F.lit("u64"), F.col("s_nationkey").cast("string"), F.array(F.lit("a"), F.lit("b")))
+    return t.supplier.select(F.col("s_suppkey").alias("id"), text.alias("text"))
+
+
+@query("""SELECT path, text, strlen(text) // 4 AS tokens FROM (SELECT 'src/s' || s_suppkey || '.rs' AS path, 'src/s' || s_suppkey || '.rs:' || chr(10) || '  pub mod b' || chr(10) || '  pub fn run' || s_suppkey || chr(10) || '  struct S' || chr(10) || '  enum E' || chr(10) AS text FROM supplier)""")
+def m28_repo_map(t: Tables) -> DataFrame:
+    return T.repo_map(T.source_symbols(_sources(t)))
+
+
 _PLAIN = "regexp_replace(lower({}), '[^a-z0-9]', '_', 'g')"
 _MOD = "'file.' || regexp_replace(lower(module), '[^a-z0-9]', '_', 'g')"
 PARTS = """parts AS (SELECT s_suppkey AS id, 'Struct' AS kind, 'S-' || s_suppkey % 70 AS name, 'M::' || s_nationkey AS module, NULL::BIGINT AS struct, NULL::BIGINT AS impl FROM supplier
