@@ -15,6 +15,8 @@ from graphloom.llm.common import materialize, text_bytes
 
 #: Labelled documents that the text model is fitted on, and hash buckets of byte trigrams.
 SAMPLE, BUCKETS = 20_000, 1 << 16
+#: Languages that the model tells apart: the most frequent labels of the sample.
+LANGUAGES = 200
 #: Trigrams whose evidence a text gives at most, as neighbours overlap and repeat: it has their mean.
 EVIDENCE = 60
 #: Rows that a host's prior is worth, and a domain's; count that each value of other evidence starts from.
@@ -71,10 +73,10 @@ def strip_markup(html: bytes) -> bytes:
     return _TAG.sub(b" ", b"".join([*parts, html[at:]]))
 
 
-def fit_text(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
+def fit_text(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> TextModel:
     """Smoothed trigram frequencies by language from at most about `sample` labelled rows, whose ids hash lowest.
 
-    Counts come to the driver by (language, bucket), at most BUCKETS for each language.
+    Counts come to the driver by (language, bucket), at most BUCKETS for each of the `languages` most frequent labels.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.xxhash64(doc_id).alias("h"), F.col(lang).cast("string").alias("lang"), text_bytes(text).alias("text"))
     low = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -91,7 +93,9 @@ def fit_text(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", la
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    got = rows.where(F.col("h") <= F.lit(low)).select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    chosen = rows.where(F.col("h") <= F.lit(low)).select("lang", "text")
+    names = [r["lang"] for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang").collect()]
+    got = chosen.where(F.col("lang").isin(names)).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(set(got["lang"]))) if len(got) else ()
     table = np.full((BUCKETS, len(langs) + 1), -np.log(BUCKETS))
     for k, name in enumerate(langs):
