@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.fixpoint import grow, relax
 from graphloom.plans.ordered import RANGE, running_sum
-from graphloom.store import materialize
+from graphloom.store import drop_table, materialize
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -164,17 +164,26 @@ def shortest(nodes: DataFrame, edges: DataFrame, source: object) -> DataFrame:
 def dominators(edges: DataFrame, entry: object) -> DataFrame:
     """(node, dominator) for nodes that the entry reaches, themselves included (OP-G16, OP-D5, OP-U7).
 
-    d dominates v if v can not be reached without d. Ways around each d are grown together as (d, node), from the
-    entry for every d but itself; what is missing is dominated. For graphs of functions, whose square fits a table.
+    A node's dominators are itself and what dominates all of its predecessors. Rounds take that from the predecessors that
+    are reached so far, until nothing changes: a dominator stays if as many predecessors have it as there are. The rows
+    of a round are the dominators of all edges' sources, so they follow the answer and the edges, not the square of the nodes.
     """
-    start = edges.sparkSession.createDataFrame([(entry,)], edges.select(F.col("src").alias("id")).schema)
-    live = materialize(reach(edges, start), "live")
-    inner = materialize(edges.select("src", "dst").distinct().join(live, F.col("src") == live["id"], "left_semi"), "edges")
-    around = live.where(F.col("id") != F.lit(entry)).select(F.col("id").alias("without"), F.lit(entry).alias("node"))
-    ways = grow(around, lambda f: f.join(inner, f["node"] == inner["src"]).where("dst != without").select("without", F.col("dst").alias("node")), ["without", "node"])
-    # A dominator of a node leads to it, so pairs are those of the closure.
-    pairs = closure(inner, live, reflexive=True).select(F.col("src").alias("dominator"), F.col("dst").alias("node"))
-    return pairs.join(ways.select("node", F.col("without").alias("dominator")), ["node", "dominator"], "left_anti").select("node", "dominator")
+    inner = materialize(edges.select("src", "dst").distinct().where(F.col("dst") != F.lit(entry)), "edges")
+    start = edges.sparkSession.createDataFrame([(entry, entry)], edges.select(F.col("src").alias("node"), F.col("src").alias("dominator")).schema)
+    doms, seen = materialize(start, "doms"), None
+    while True:
+        known = doms.where("node = dominator").select(F.col("node").alias("src"))
+        ways = inner.join(known, "src").groupBy("dst").agg(F.count("*").alias("ways"))
+        had = inner.join(doms, F.col("src") == F.col("node")).groupBy("dst", "dominator").agg(F.count("*").alias("n"))
+        kept = had.join(ways, "dst").where("n = ways and dominator != dst").select(F.col("dst").alias("node"), "dominator")
+        own = ways.select(F.col("dst").alias("node"), F.col("dst").alias("dominator"))
+        new = materialize(kept.unionByName(own).unionByName(start), "doms")
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("node", "dominator").cast("decimal(38,0)"))).first())
+        drop_table(doms)
+        doms = new
+        if now == seen:
+            return doms
+        seen = now
 
 
 def immediate_dominators(doms: DataFrame) -> DataFrame:

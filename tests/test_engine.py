@@ -79,6 +79,23 @@ def test_dominators(edges):
     doms = G.dominators(edges(DIAMOND), 0)
     assert pairs(doms) == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 2), (3, 0), (3, 3)]
     assert pairs(G.immediate_dominators(doms)) == [(1, 0), (2, 0), (3, 0)]
+    # Loops, ways of different lengths and nodes that the entry does not reach, against what is left without each node.
+    import random
+
+    rng = random.Random(3)
+    e = sorted({(rng.randint(0, 14), rng.randint(0, 14)) for _ in range(22)} | {(i, i + 1) for i in range(0, 9)} | {(30, 3)})
+
+    def reached(without):
+        out, ahead = set(), [0] if without != 0 else []
+        while ahead:
+            v = ahead.pop()
+            if v not in out:
+                out.add(v)
+                ahead += [b for a, b in e if a == v and b != without]
+        return out
+
+    want = sorted((v, d) for v in reached(None) for d in reached(None) if v == d or v not in reached(d))
+    assert pairs(G.dominators(edges(e), 0)) == want
 
 
 def test_reaching_definitions(spark):
